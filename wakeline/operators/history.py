@@ -8,7 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.operators.prefix import HOT_ROWS, Family, Measure, running, running_strict
+from wakeline.operators.prefix import (
+    HOT_ROWS,
+    Family,
+    Measure,
+    chunk_depths,
+    running,
+    running_strict,
+)
 from wakeline.schema import (
     COURSE_SHRINKAGE,
     MIN_PRIOR_OBSERVATIONS,
@@ -92,12 +99,25 @@ def prior_counts_strict(
     name: str,
     *,
     levels: Sequence[Sequence[str]] = INSTANT_LEVELS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Like :func:`prior_counts`, over rows at strictly earlier instants only."""
-    out = running_strict(df, group, _pair(name, value), levels)
+    depth = chunk_depths(df, [group], levels, hot_rows)[tuple(group)]
+    out = _scan_strict(df, group, [Family((), _pair(name, value))], levels, depth, hot_rows, df)
     return out.fillna(0, subset=[f"{name}_s", f"{name}_n"])
 
 
+def _scan_strict(df, anchor, families, levels, depth, hot_rows, source) -> DataFrame:
+    """Windows by instant inside a day; where one day of a key is hot, totals per instant."""
+    if depth < 2:
+        instant = levels[-1][0]
+        return running(df, anchor, families, [instant], levels[:1], instant=instant,
+                       hot_rows=hot_rows, source=source, depth=depth)
+    for f in families:
+        df = running_strict(df, [*anchor, *f.extra], f.measures, levels, source=source)
+    return df
+
+
 def shrunk_rates(
     df: DataFrame,
     rates: Sequence[Rate],
@@ -114,28 +134,21 @@ def shrunk_rates(
     (members of one group see each other through the global mean);
     ``mode='strict'`` takes rows at strictly earlier instants only.
 
-    ``df`` is read once for the rows and, pruned to the columns needed, once more per
-    shuffle key; pass a table or :func:`wakeline.session.staged` rows.
+    ``df`` is also counted per key (one job) and totalled per hot key, so pass a table
+    or :func:`wakeline.session.staged` rows.
     """
     if mode not in ("rows", "strict"):
         raise ValueError(f"unknown mode {mode!r}")
     levels = levels or (EVENT_LEVELS if mode == "rows" else INSTANT_LEVELS)
     values = list(dict.fromkeys(r.value for r in rates))
+    anchors = [(), *dict.fromkeys(r.anchor for r in rates)]
+    depths = chunk_depths(df, anchors, levels, hot_rows)
     out = df
-
-    def scan(frame, anchor, families):
-        if mode == "rows":
-            return running(frame, anchor, families, order, levels, hot_rows=hot_rows, source=df)
-        for f in families:
-            frame = running_strict(
-                frame, [*anchor, *f.extra], f.measures, levels, source=df
-            )
-        return frame
-
-    out = scan(out, [], [Family((), tuple(m for v in values for m in _pair(f"_all_{v}", v)))])
-    for anchor in dict.fromkeys(r.anchor for r in rates):
-        mine = [r for r in rates if r.anchor == anchor]
+    for anchor in anchors:
         families = []
+        if not anchor:
+            families.append(Family((), tuple(m for v in values for m in _pair(f"_all_{v}", v))))
+        mine = [r for r in rates if anchor and r.anchor == anchor]
         for group in dict.fromkeys(r.group for r in mine):
             wanted = dict.fromkeys(r.value for r in mine if r.group == group)
             tag = "_".join(group)
@@ -145,7 +158,11 @@ def shrunk_rates(
                     tuple(m for v in wanted for m in _pair(f"_{tag}_{v}", v)),
                 )
             )
-        out = scan(out, list(anchor), families)
+        if mode == "rows":
+            out = running(out, anchor, families, order, levels, hot_rows=hot_rows,
+                          source=df, depth=depths[anchor])
+        else:
+            out = _scan_strict(out, anchor, families, levels, depths[anchor], hot_rows, df)
 
     columns = {}
     for r in rates:

@@ -2,12 +2,12 @@
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` puts a whole key in one task, so
 a key with a third of the rows is one task with a third of the rows, and a
-global prefix is a single task. Here every *hot* key is cut into chunks along
-the order (``levels``: e.g. day, then minute). Each chunk is scanned on its own
-and starts from a carry row holding the aggregate of all earlier chunks. Carry
-rows are unioned in front of their chunk rather than joined, so the rows are
-shuffled once per anchor key. Keys below ``hot_rows`` keep one chunk and cost
-nothing extra beyond a count.
+global prefix is a single task. So the largest key is measured first. While no
+key exceeds ``hot_rows`` ordinary windows are used. Otherwise every *hot* key is
+cut into chunks along the order (``levels``: e.g. day, then minute); each chunk
+is scanned on its own and starts from a carry row holding the aggregate of all
+earlier chunks. Carry rows are unioned in front of their chunk rather than
+joined, so the rows are shuffled once per anchor key either way.
 """
 
 from __future__ import annotations
@@ -53,17 +53,45 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     )
 
 
-def _flag_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame, flag: str) -> DataFrame:
+def chunk_depths(
+    df: DataFrame,
+    anchors: Sequence[Sequence[str]],
+    levels: Sequence[Sequence[str]],
+    hot_rows: int = HOT_ROWS,
+) -> dict[tuple[str, ...], int]:
+    """How many levels each anchor has to be cut by; runs one small job per level.
+
+    The empty anchor (a global prefix) is always cut at least once. Only the
+    largest count per anchor reaches the driver.
+    """
+    depth = {tuple(a): 0 if a else min(1, len(levels)) for a in anchors}
+    pending = [a for a in depth if depth[a] < len(levels)]
+    while pending:
+        probes = []
+        for i, anchor in enumerate(pending):
+            keys = [*anchor, *(c for level in levels[: depth[anchor]] for c in level)]
+            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            probes.append(counts.agg(F.lit(i).alias("_i"), F.max("_n").alias("_n")))
+        largest = {r["_i"]: r["_n"] or 0 for r in reduce(DataFrame.unionByName, probes).collect()}
+        grown = [a for i, a in enumerate(pending) if largest[i] > hot_rows]
+        for anchor in grown:
+            depth[anchor] += 1
+        pending = [a for a in grown if depth[a] < len(levels)]
+    return depth
+
+
+def _flag_hot(
+    df: DataFrame, keys: Sequence[str], hot: DataFrame, chunk: dict[str, str]
+) -> DataFrame:
+    """Add the chunk columns, copied from a level where the key is hot, else NULL."""
     # NULL is a key of its own, hence the null-safe comparison. The broadcast side
     # is bounded by rows / hot_rows whatever the data looks like.
     renamed = hot.select(
-        *[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)], F.lit(True).alias(flag)
+        *[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot")
     )
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{i}")) for i, k in enumerate(keys)])
-    return (
-        df.join(F.broadcast(renamed), same, "left")
-        .drop(*[f"_hot_{i}" for i in range(len(keys))])
-        .withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    return df.join(F.broadcast(renamed), same, "left").select(
+        *df.columns, *[F.when(F.col("_hot"), F.col(c)).alias(n) for n, c in chunk.items()]
     )
 
 
@@ -73,45 +101,31 @@ def _chunker(
     """Return a function adding chunk columns, and the chunk columns per level.
 
     Level 0 applies to hot anchors, level i+1 only inside hot chunks of level i.
-    Chunk columns are NULL where a finer cut is not needed.
     """
     steps: list[Callable[[DataFrame], DataFrame]] = []
     chunk_levels: list[list[str]] = []
     keys = list(anchor)
     frame = source
-
     for depth, level in enumerate(levels):
-        names = [f"_chunk{depth}_{c}" for c in level]
-        flag = f"_hot{depth}"
+        chunk = {f"_chunk{depth}_{c}": c for c in level}
         if keys:
             hot = hot_keys(frame, keys, hot_rows)
 
-            def step(df, keys=tuple(keys), hot=hot, flag=flag, level=level, names=names):
-                marked = _flag_hot(df, keys, hot, flag)
-                return marked.withColumns(
-                    {n: F.when(F.col(flag), F.col(c)) for n, c in zip(names, level)}
-                ).drop(flag)
+            def step(df, keys=tuple(keys), hot=hot, chunk=chunk):
+                return _flag_hot(df, keys, hot, chunk)
         else:
 
-            def step(df, level=level, names=names):
-                return df.withColumns({n: F.col(c) for n, c in zip(names, level)})
+            def step(df, chunk=chunk):
+                return df.withColumns({n: F.col(c) for n, c in chunk.items()})
 
         steps.append(step)
-        chunk_levels.append(names)
-        frame = step(frame).filter(F.col(names[0]).isNotNull())
-        keys += names
-
+        chunk_levels.append(list(chunk))
+        keys += chunk
+        if depth + 1 < len(levels):
+            frame = step(frame).filter(F.col(chunk_levels[depth][0]).isNotNull())
     return (lambda df: reduce(lambda acc, s: s(acc), steps, df)), chunk_levels
 
 
-def _running(m: Measure, value: Column, window) -> Column:
-    if m.how == "sum":
-        return F.sum(value).over(window)
-    if m.how == "max":
-        return F.max(value).over(window)
-    return F.last(value, ignorenulls=True).over(window)
-
-
 def _totals(
     df: DataFrame, keys: Sequence[str], measures: Sequence[Measure], order: Sequence[str]
 ) -> DataFrame:
@@ -132,6 +146,14 @@ def _totals(
     return df.groupBy(*keys).agg(*aggs)
 
 
+def _running(m: Measure, value: Column, window) -> Column:
+    if m.how == "sum":
+        return F.sum(value).over(window)
+    if m.how == "max":
+        return F.max(value).over(window)
+    return F.last(value, ignorenulls=True).over(window)
+
+
 def scan_chunks(
     totals: DataFrame,
     group: Sequence[str],
@@ -170,20 +192,49 @@ def running(
     levels: Sequence[Sequence[str]],
     *,
     inclusive: bool = False,
+    instant: str | None = None,
     hot_rows: int = HOT_ROWS,
     source: DataFrame | None = None,
+    depth: int | None = None,
 ) -> DataFrame:
     """Add every family's measures, aggregated over the rows before each row.
 
     ``order`` must be a total order and ``levels`` a list of column lists, each a
-    monotone coarsening of it. ``source`` is a cheap stand-in for ``df`` (same
-    rows, fewer steps) from which key counts and chunk totals are taken.
+    monotone coarsening of it. With ``instant`` (the timestamp column leading the
+    order) only rows at strictly earlier instants count. ``source`` is a cheap
+    stand-in for ``df`` (same rows, fewer steps) for key counts and chunk totals;
+    ``depth`` skips the check made by :func:`chunk_depths`.
     """
     source = df if source is None else source
-    chunk, chunk_levels = _chunker(source, anchor, levels, hot_rows)
-    flat = [c for level in chunk_levels for c in level]
+    anchor = list(anchor)
+    if depth is None:
+        depth = chunk_depths(source, [anchor], levels, hot_rows)[tuple(anchor)]
     measures = [m for f in families for m in f.measures]
+    names = {m.name for m in measures}
+    keep = [c for c in df.columns if c not in names]
+
+    def window(keys, head):
+        spec = Window.partitionBy(*keys)
+        if instant:
+            at = F.unix_micros(F.col(instant).cast("timestamp"))
+            if head:
+                at = F.when(F.col(_ROW) == 1, at).otherwise(F.lit(-(2**62)))
+            return spec.orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+        end = Window.currentRow if inclusive else -1
+        return spec.orderBy(*head, *order).rowsBetween(Window.unboundedPreceding, end)
+
+    if depth == 0:
+        return df.select(
+            *keep,
+            *[
+                _running(m, m.value, window([*anchor, *f.extra], [])).alias(m.name)
+                for f in families
+                for m in f.measures
+            ],
+        )
 
+    chunk, chunk_levels = _chunker(source, anchor, levels[:depth], hot_rows)
+    flat = [c for level in chunk_levels for c in level]
     rows = chunk(df.withColumns({m.name: m.value for m in measures})).withColumn(_ROW, F.lit(1))
     for f in families:
         group = [*anchor, *f.extra]
@@ -193,20 +244,22 @@ def running(
         carry = scan_chunks(totals, group, chunk_levels, f.measures)
         rows = rows.unionByName(carry.withColumn(_ROW, F.lit(0)), allowMissingColumns=True)
 
+    # one shuffle on anchor and chunk serves the windows of every family
     rows = rows.repartition(*anchor, *flat)
-    end = Window.currentRow if inclusive else -1
-    out = {}
-    for f in families:
-        window = (
-            Window.partitionBy(*anchor, *flat, *f.extra)
-            .orderBy(_ROW, *order)
-            .rowsBetween(Window.unboundedPreceding, end)
+    return (
+        rows.select(
+            *keep,
+            _ROW,
+            *[
+                _running(m, F.col(m.name), window([*anchor, *flat, *f.extra], [_ROW]))
+                .alias(m.name)
+                for f in families
+                for m in f.measures
+            ],
         )
-        for m in f.measures:
-            out[f"_r_{m.name}"] = _running(m, F.col(m.name), window)
-    done = rows.withColumns(out).filter(F.col(_ROW) == 1)
-    keep = [c for c in df.columns if c not in {m.name for m in measures}]
-    return done.select(*keep, *[F.col(f"_r_{m.name}").alias(m.name) for m in measures])
+        .filter(F.col(_ROW) == 1)
+        .drop(_ROW)
+    )
 
 
 def running_strict(
@@ -256,9 +309,16 @@ def ordinals(
 ) -> DataFrame:
     """Several row numbers per group: ``{name: (order, levels)}``.
 
-    Ordinary groups get all numbers from one shuffle; the rows of hot groups (at
-    runtime usually none, and then the branch is dropped) are numbered in chunks.
+    Ordinary groups get all numbers from one shuffle; rows of hot groups, if there
+    are any, are numbered in chunks.
     """
+    if not chunk_depths(df, [group], [list(group)], hot_rows)[tuple(group)]:
+        return df.withColumns(
+            {
+                name: F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+                for name, (order, _) in numbered.items()
+            }
+        )
     hot = hot_keys(df, group, hot_rows)
     cold_rows = df.join(F.broadcast(hot), list(group), "left_anti")
     hot_rows_df = df.join(F.broadcast(hot), list(group), "left_semi")
@@ -273,7 +333,7 @@ def ordinals(
         family = Family((), (Measure(name, F.lit(1).cast("long")),))
         chunked = running(
             chunked, group, [family], order, levels,
-            inclusive=True, hot_rows=hot_rows, source=hot_rows_df,
+            inclusive=True, hot_rows=0, source=hot_rows_df, depth=len(levels),
         )
     casts = {name: F.col(name).cast("int") for name in numbered}
     return cold.unionByName(chunked.withColumns(casts))
