@@ -26,8 +26,11 @@ prepared AS (
     CASE WHEN finish_position <= 3 THEN 1 ELSE 0 END AS top3,
     lane - course AS course_gain,
     CAST(course < lane AS INT) AS goes_inside
-  FROM (SELECT * EXCLUDE (deadline_time), nullif(deadline_time, '') AS deadline_time FROM members))"""
+  FROM members)"""
 
+#: Rows at strictly earlier instants.
+_EARLIER = "ORDER BY race_ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING"
+#: Rows earlier in the total order.
 _BEFORE = "ORDER BY race_ts, stadium_id, race_no, lane ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
@@ -139,7 +142,7 @@ _RATES = [
 ]
 
 
-def history_sql(before: str, columns: str, tail: str = "") -> str:
+def history_sql(before: str, columns: str, prepared_sql: str = PREPARED_SQL) -> str:
     inner, outer = [], []
     for name, value, group, k in _RATES:
         w = f"(PARTITION BY {group} {before})"
@@ -153,8 +156,8 @@ def history_sql(before: str, columns: str, tail: str = "") -> str:
             f"THEN {name}_as / {name}_an END) / ({name}_gn + {k}.0e0) + 1e-10, 6) AS {name}_rate"
         )
     return (
-        f"WITH {PREPARED_SQL},\nh AS (SELECT *, " + ",\n  ".join(inner) + " FROM prepared)\n"
-        f"SELECT {columns}, " + ",\n  ".join(outer) + f" FROM h{tail}"
+        f"WITH {prepared_sql},\nh AS (SELECT *, " + ",\n  ".join(inner) + " FROM prepared)\n"
+        f"SELECT {columns}, " + ",\n  ".join(outer) + f" FROM h"
     )
 
 
@@ -177,9 +180,7 @@ def history_features(spark, sf):
     return built.select("race_no", "lane", *_rounded(_HISTORY_COLUMNS))
 
 
-@query("history_features_strict", history_sql(
-    "ORDER BY race_ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING",
-    "race_no, lane"))
+@query("history_features_strict", history_sql(_EARLIER, "race_no, lane"))
 def history_features_strict(spark, sf):
     built = features.add_history(prepared(spark, sf), mode="strict")
     return built.select("race_no", "lane", *_rounded(_HISTORY_COLUMNS))
@@ -212,24 +213,33 @@ def encode_interactions(spark, sf):
     )
 
 
-def _feature_sql(feature_set: str, where: str) -> str:
-    wanted = list(dict.fromkeys(["race_no", "lane", *feature_columns(feature_set)]))
-    inner = history_sql(_BEFORE, "*, " + _CODES_SQL)
-    return (
-        "SELECT " + ", ".join(f"CAST({c} AS INT) AS {c}" if c in ("wind_dir_code", "weather_code")
-                              else c for c in wanted)
-        + f" FROM (SELECT * EXCLUDE (d), d FROM (SELECT *, race_date AS d FROM ({inner}))) {where}"
+def _feature_sql(feature_set: str, before: str, where: str = "", prepared_sql: str = PREPARED_SQL):
+    wanted = dict.fromkeys(["race_no", "lane", *feature_columns(feature_set)])
+    columns = ", ".join(
+        f"CAST({c} AS INT) AS {c}" if c in ("wind_dir_code", "weather_code") else c for c in wanted
     )
+    return f"SELECT {columns} FROM ({history_sql(before, '*, ' + _CODES_SQL, prepared_sql)}) {where}"
+
+
+#: The last day's outcomes hidden, as they are when the day is scored.
+_MASKED_SQL = PREPARED_SQL.replace("FROM members)", """FROM (
+    SELECT * REPLACE (
+      CASE WHEN race_date = (SELECT max(race_date) FROM members) THEN NULL ELSE course END AS course,
+      CASE WHEN race_date = (SELECT max(race_date) FROM members) THEN NULL ELSE finish_position END AS finish_position,
+      CASE WHEN race_date = (SELECT max(race_date) FROM members) THEN NULL ELSE start_timing END AS start_timing)
+    FROM members))""")
 
 
-@query("feature_set_select", _feature_sql("realised", ""))
+@query("feature_set_select", _feature_sql("realised", _BEFORE))
 def feature_set_select(spark, sf):
     built = features.build(members(spark, sf), mode="rows")
     chosen = features.select_features(built, "realised", "race_no", "lane")
     return chosen.select(*_rounded(chosen.columns))
 
 
-@query("score_latest_day", _feature_sql("morning", "WHERE d = (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)"))
+@query("score_latest_day", _feature_sql(
+    "morning", _EARLIER, "WHERE race_date = (SELECT max(CAST(o_orderdate AS DATE)) FROM orders JOIN lineitem ON l_orderkey = o_orderkey)",
+    _MASKED_SQL))
 def score_latest_day(spark, sf):
     table = members(spark, sf)
     day = table.agg(F.max("race_date")).first()[0]
@@ -237,7 +247,7 @@ def score_latest_day(spark, sf):
         "course", "finish_position", "finish_status", "start_timing"
     )
     history = table.filter(F.col("race_date") < day)
-    built = features_for_day(history, card, day, mode="rows")
+    built = features_for_day(history, card, day)
     chosen = features.select_features(built, "morning", "race_no", "lane")
     return chosen.select(*_rounded(chosen.columns))
 

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wakeline.functions.text import canonical_combination
 from wakeline.operators.prefix import ordinals
-from wakeline.schema import GRADES, WEATHERS, WIND_DIRECTIONS
+from wakeline.operators.triples import triple_table
+from wakeline.schema import GRADES, RACE_KEYS, WEATHERS, WIND_DIRECTIONS
 from wakeline.session import staged, tune
 
 
@@ -119,3 +121,109 @@ def _once(spark: SparkSession, sf: str, label: str, build) -> DataFrame:
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
     return _once(spark, sf, "members", build_members)
+
+
+# ---------------------------------------------------------------------------
+# Payouts and odds
+# ---------------------------------------------------------------------------
+
+#: (type, combination, divisor of the order's total) for a podium a-b-c.
+_BETS = (
+    ("trifecta", ("a", "b", "c"), 10),
+    ("trio", ("a", "b", "c"), 20),
+    ("exacta", ("a", "b"), 30),
+    ("quinella", ("a", "b"), 40),
+    ("wide", ("a", "b"), 50),
+    ("wide", ("a", "c"), 60),
+    ("wide", ("b", "c"), 70),
+    ("win", ("a",), 80),
+    ("place", ("a",), 90),
+    ("place", ("b",), 95),
+)
+
+PODIUM_SQL = """podium AS (
+  SELECT race_date, stadium_id, race_no, any_value(total_price) AS total_price,
+    max(CASE WHEN finish_position = 1 THEN lane END) AS a,
+    max(CASE WHEN finish_position = 2 THEN lane END) AS b,
+    max(CASE WHEN finish_position = 3 THEN lane END) AS c
+  FROM members GROUP BY ALL HAVING a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL)"""
+
+
+def _bet_sql(bet: str, parts: tuple[str, ...], divisor: int) -> str:
+    chosen = ", ".join(parts)
+    inside = chosen if bet in ("trifecta", "exacta") or len(parts) == 1 else None
+    combo = (
+        f"concat_ws('-', {inside})" if inside
+        else f"array_to_string(list_sort([CAST(x AS VARCHAR) FOR x IN [{chosen}]]), '-')"
+    )
+    return (
+        f"SELECT race_date, stadium_id, race_no, '{bet}' AS bet_type, {combo} AS combination, "
+        f"round(total_price / {divisor}) AS payout_yen FROM podium"
+    )
+
+
+PAYOUTS_SQL = (
+    f"{MEMBERS_SQL},\n{PODIUM_SQL},\npayouts AS ("
+    + "\n  UNION ALL ".join(_bet_sql(*b) for b in _BETS)
+    + ")"
+)
+
+DIVIDENDS_SQL = PAYOUTS_SQL + """,
+dividends AS (SELECT race_date, stadium_id, race_no, combination, payout_yen
+  FROM payouts WHERE bet_type = 'trifecta')"""
+
+
+def build_payouts(spark: SparkSession, sf: str) -> DataFrame:
+    place = [F.max(F.when(F.col("finish_position") == i, F.col("lane"))) for i in (1, 2, 3)]
+    podium = (
+        members(spark, sf)
+        .groupBy(*RACE_KEYS)
+        .agg(
+            F.first("total_price").alias("total_price"),
+            *[p.alias(n) for p, n in zip(place, "abc")],
+        )
+        .dropna(subset=["a", "b", "c"])
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(bet).alias("bet_type"),
+                canonical_combination(
+                    F.lit(bet), F.concat_ws("-", *[F.col(p).cast("string") for p in parts])
+                ).alias("combination"),
+                F.round(F.col("total_price") / divisor).alias("payout_yen"),
+            )
+            for bet, parts, divisor in _BETS
+        ]
+    )
+    return podium.select(*RACE_KEYS, F.inline(rows))
+
+
+def payouts(spark: SparkSession, sf: str) -> DataFrame:
+    return _once(spark, sf, "payouts", build_payouts)
+
+
+ODDS_SQL = """odds AS (
+  SELECT race_date, stadium_id, race_no, concat(i, '-', j, '-', k) AS combination,
+    1 + ((race_no * 31 + i * 36 + j * 6 + k * 7) % 997) / 10.0e0 AS odds
+  FROM (SELECT race_date, stadium_id, race_no FROM members
+        GROUP BY ALL HAVING count(*) = 6 AND race_no % 5 <> 0),
+    range(1, 7) a(i), range(1, 7) b(j), range(1, 7) c(k)
+  WHERE i <> j AND j <> k AND i <> k)"""
+
+
+def build_odds(spark: SparkSession, sf: str) -> DataFrame:
+    groups = (
+        members(spark, sf)
+        .groupBy(*RACE_KEYS)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter((F.col("n") == 6) & (F.col("race_no") % 5 != 0))
+    )
+    rows = groups.select(*RACE_KEYS, F.explode(triple_table(6)).alias("t"))
+    i, j, k = (F.col(f"t.{x}") for x in "ijk")
+    price = 1 + ((F.col("race_no") * 31 + i * 36 + j * 6 + k * 7) % 997) / 10.0
+    return rows.select(*RACE_KEYS, "t.combination", price.alias("odds"))
+
+
+def odds(spark: SparkSession, sf: str) -> DataFrame:
+    return _once(spark, sf, "odds", build_odds)
