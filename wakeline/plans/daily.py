@@ -5,11 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.functions.text import venue_name
 from wakeline.operators.merge import aligned_union
 from wakeline.plans.features import build
+from wakeline.schema import VENUES
 
 
 def features_for_day(history: DataFrame, card: DataFrame, day, *, mode: str = "strict") -> DataFrame:
     """Features of the card's rows, with the history of every earlier row."""
     combined = aligned_union(history.filter(F.col("race_date") < F.lit(day)), card)
     return build(combined, mode=mode).filter(F.col("race_date") == F.lit(day))
+
+
+def select_groups(df: DataFrame, *, stadium: int | None = None, race_no: int | None = None):
+    """Narrow scored rows to a venue or number; call it after history, never before."""
+    if stadium is not None:
+        df = df.filter(F.col("stadium_id") == stadium)
+    if race_no is not None:
+        df = df.filter(F.col("race_no") == race_no)
+    return df
+
+
+def resolve_names(asked: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """Add ``stadium_id`` for a code or a (decorated) name; NULL when unknown.
+
+    ``known`` is the venue table (stadium_id, name), a couple of dozen rows.
+    """
+    text = F.trim(F.col(column))
+    numeric = text.rlike("^[0-9]+$")
+    key = F.when(numeric, F.concat(F.lit("#"), text.try_cast("int").cast("string"))).otherwise(
+        venue_name(text)
+    )
+    names = known.select(
+        "stadium_id",
+        F.explode(F.array("name", F.concat(F.lit("#"), F.col("stadium_id").cast("string"))))
+        .alias("_key"),
+    )
+    return asked.withColumn("_key", key).join(names, "_key", "left").drop("_key")
+
+
+def resolve_venue(spark, value: str) -> int:
+    """One venue argument to its id; an unknown one is an error."""
+    known = spark.createDataFrame(list(VENUES.items()), "stadium_id INT, name STRING")
+    asked = spark.createDataFrame([(value,)], "asked STRING")
+    found = resolve_names(asked, "asked", known).first()["stadium_id"]
+    if found is None:
+        raise ValueError(f"unknown venue {value!r}; known: {'/'.join(VENUES.values())}")
+    return found
