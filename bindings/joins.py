@@ -233,16 +233,12 @@ def dedupe_by_key(spark, sf):
     return merge.latest_by(rows, ["user_id", "event_type", "day"], ["value", "event_id"])
 
 
-_KEY_SQL = "concat(strftime(ts, '%Y-%m-%d'), '/', lpad(CAST(user_id AS VARCHAR), greatest(2, length(CAST(user_id AS VARCHAR))), '0'), '/', event_id)"
+_KEY_SQL = "concat(strftime(ts, '%Y-%m-%d'), '/', lpad(CAST(user_id % 24 AS VARCHAR), 2, '0'), '/', event_id)"
 
 
 def _keyed(spark, sf):
-    padded = F.lpad("user_id", 2, "0")
-    user = F.when(F.length(F.col("user_id").cast("string")) > 2, F.col("user_id").cast("string"))
-    return read(spark, sf, "events").withColumn(
-        "k", F.concat_ws("/", F.date_format("ts", "yyyy-MM-dd"), F.coalesce(user, padded),
-                         F.col("event_id").cast("string")),
-    )
+    key = race_key_text(F.col("ts"), F.col("user_id") % 24, F.col("event_id"))
+    return read(spark, sf, "events").withColumn("k", key)
 
 
 @query("resume_todo", f"""WITH r AS (SELECT {_KEY_SQL} AS k, event_type FROM events)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wakeline.schema import BET_LABELS, DECISIONS, UNORDERED_BETS, VENUE_AFFIXES
 
@@ -13,11 +11,9 @@ from wakeline.schema import BET_LABELS, DECISIONS, UNORDERED_BETS, VENUE_AFFIXES
 WIDE_DIGITS = "０１２３４５６７８９"
 WIDE_UPPER = "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ"
 WIDE_LOWER = "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
-WIDE_SIGNS = "：－．＋"
 NARROW_DIGITS = "0123456789"
 NARROW_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NARROW_LOWER = "abcdefghijklmnopqrstuvwxyz"
-NARROW_SIGNS = ":-.+"
 PADDING = " 　\t\r\n\u0000"
 RACE_TIME = r"^(\d+)\.(\d{1,2})\.(\d)$"
 CARD_HEADER = (
@@ -31,33 +27,36 @@ RESULT_HEADER = (
 PAYOUT_ENTRY = r"(\d(?:-\d){0,2})\s+(\d+)(?:\s+人気\s+(\d+))?"
 # --- end of fixed values --------------------------------------------------
 
-_WIDE_ALL = WIDE_DIGITS + WIDE_UPPER + WIDE_LOWER + WIDE_SIGNS + "　"
-_NARROW_ALL = NARROW_DIGITS + NARROW_UPPER + NARROW_LOWER + NARROW_SIGNS + " "
-
-
-@F.pandas_udf(T.StringType())
-def _decode_cp932(raw: pd.Series) -> pd.Series:
-    def one(b):
-        try:
-            return None if b is None else bytes(b).decode("cp932")
-        except UnicodeDecodeError:
-            return None
-
-    return raw.map(one)
+#: Replacement character the decoder leaves for bytes that are not valid.
+_UNDECODABLE = "\ufffd"
 
 
 def decode_cp932(raw: Column) -> Column:
     """Decode, NULL where the bytes are not valid.
 
-    The built-in ``decode`` fails the whole query on one bad field, hence the Arrow
-    function.
+    Stays in the JVM; the session settings of :func:`wakeline.session.tune` allow the
+    character set and keep one bad field from failing the query.
     """
-    return _decode_cp932(raw)
+    text = F.decode(raw, "windows-31j")
+    return F.when(~text.contains(_UNDECODABLE), text)
 
 
 def normalise_width(text: Column) -> Column:
-    """Full-width digits, letters, signs and spaces to ASCII."""
-    return F.translate(text, _WIDE_ALL, _NARROW_ALL)
+    """Full-width digits, letters, colon, minus, point and space to ASCII."""
+    wide = WIDE_DIGITS + WIDE_UPPER + WIDE_LOWER + "：－．　"
+    return F.translate(text, wide, NARROW_DIGITS + NARROW_UPPER + NARROW_LOWER + ":-. ")
+
+
+def normalise_digits(text: Column) -> Column:
+    """Full-width digits, colon, minus and space to ASCII; letters stay as they are."""
+    return F.translate(text, WIDE_DIGITS + "：－　", NARROW_DIGITS + ":- ")
+
+
+def normalise_number(text: Column) -> Column:
+    """Full-width digits and signs to ASCII, thousands separators removed."""
+    return F.replace(
+        F.translate(text, WIDE_DIGITS + "＋－．", NARROW_DIGITS + "+-."), F.lit(","), F.lit("")
+    )
 
 
 def strip_padding(text: Column) -> Column:
@@ -81,24 +80,24 @@ def group(text: Column, pattern: str, index: int) -> Column:
 
 def int_or_null(text: Column) -> Column:
     """Digits only; anything else is NULL."""
-    flat = F.trim(normalise_width(text))
+    flat = F.trim(normalise_digits(text))
     return F.when(flat.rlike("^[0-9]+$"), flat.try_cast("int"))
 
 
 def float_or_null(text: Column) -> Column:
-    return F.trim(normalise_width(text)).try_cast("double")
+    return F.trim(normalise_digits(text)).try_cast("double")
 
 
 def race_time_seconds(text: Column) -> Column:
     """``1.48.7`` is one minute 48.7 seconds."""
-    flat = F.trim(normalise_width(text))
+    flat = F.trim(normalise_digits(text))
     minutes, seconds, tenths = (group(flat, RACE_TIME, i).try_cast("int") for i in (1, 2, 3))
     return (minutes * 60 + seconds) + tenths / 10
 
 
 def start_timing(text: Column) -> Column:
     """Struct (timing, flag): ``F.01`` crossed 0.01 s early, ``L`` started late."""
-    flat = F.trim(normalise_width(text))
+    flat = F.trim(normalise_digits(text))
     early = F.concat(F.lit("0."), F.regexp_replace(F.substr(flat, F.lit(2)), r"^\.+", ""))
     early_value = F.when(early != "0.", -early.try_cast("double"))
     late = flat.startswith("L")
@@ -185,3 +184,11 @@ def period_key(year: Column, half: Column) -> Column:
     )
     month = F.when(half == 1, "10").otherwise("04")
     return F.concat(F.lit("fan"), F.lpad(yy.cast("string"), 2, "0"), month)
+
+
+def date_spine(first: Column, last: Column) -> Column:
+    """All days from first to last as an array; a reversed range is an error."""
+    days = F.sequence(first, last, F.expr("interval 1 day"))
+    message = F.concat(F.lit("end "), last.cast("string"), F.lit(" is before start "),
+                       first.cast("string"))
+    return F.when(last < first, F.raise_error(message)).otherwise(days)
