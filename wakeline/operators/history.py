@@ -164,16 +164,18 @@ def shrunk_rates(
         else:
             out = _scan_strict(out, anchor, families, levels, depths[anchor], hot_rows, df)
 
-    columns = {}
+    columns = []
     for r in rates:
         tag = "_".join(r.group)
-        total = F.coalesce(F.col(f"_{tag}_{r.value}_s").cast("double"), F.lit(0.0))
-        n = F.coalesce(F.col(f"_{tag}_{r.value}_n"), F.lit(0))
-        overall = F.try_divide(F.col(f"_all_{r.value}_s"), F.col(f"_all_{r.value}_n"))
-        columns[f"{r.name}_n"] = n
-        columns[f"{r.name}_rate"] = (total + F.lit(r.k) * overall) / (n + F.lit(r.k))
-        columns[f"{r.name}_raw"] = F.when(n > 0, total / n)
-    return out.select(*df.columns, *[c.alias(n) for n, c in columns.items()])
+        total = f"coalesce(CAST(_{tag}_{r.value}_s AS DOUBLE), 0.0D)"
+        n = f"coalesce(_{tag}_{r.value}_n, 0L)"
+        overall = f"try_divide(_all_{r.value}_s, _all_{r.value}_n)"
+        columns += [
+            f"{n} AS {r.name}_n",
+            f"({total} + {r.k}D * {overall}) / ({n} + {r.k}D) AS {r.name}_rate",
+            f"CASE WHEN {n} > 0 THEN {total} / {n} END AS {r.name}_raw",
+        ]
+    return out.selectExpr(*[f"`{c}`" for c in df.columns], *columns)
 
 
 def expanding_mean(
@@ -216,7 +218,7 @@ def blocked(df: DataFrame, column: str = "race_no", size: int = GROUPS_PER_BLOCK
 
 def event_ts(day: Column, time: Column, default: str = "12:00:00") -> Column:
     """Day plus time of day; a missing or unreadable time counts as ``default``."""
-    text = day.cast("string")
-    at = F.concat(text, F.lit(" "), time.cast("string"))
+    text, clock = day.cast("string"), time.cast("string")
+    at = F.when(clock.rlike(r"^\d{1,2}:\d{2}:\d{2}$"), F.concat(text, F.lit(" "), clock))
     noon = F.concat(text, F.lit(f" {default}"))
     return F.coalesce(at.try_cast("timestamp_ntz"), noon.cast("timestamp_ntz"))

@@ -223,15 +223,15 @@ def running(
         end = Window.currentRow if inclusive else -1
         return spec.orderBy(*head, *order).rowsBetween(Window.unboundedPreceding, end)
 
+    def measured(value, keys, head):
+        out = []
+        for f in families:
+            spec = window([*keys, *f.extra], head)
+            out += [_running(m, value(m), spec).alias(m.name) for m in f.measures]
+        return out
+
     if depth == 0:
-        return df.select(
-            *keep,
-            *[
-                _running(m, m.value, window([*anchor, *f.extra], [])).alias(m.name)
-                for f in families
-                for m in f.measures
-            ],
-        )
+        return df.select(*keep, *measured(lambda m: m.value, anchor, []))
 
     chunk, chunk_levels = _chunker(source, anchor, levels[:depth], hot_rows)
     flat = [c for level in chunk_levels for c in level]
@@ -246,20 +246,8 @@ def running(
 
     # one shuffle on anchor and chunk serves the windows of every family
     rows = rows.repartition(*anchor, *flat)
-    return (
-        rows.select(
-            *keep,
-            _ROW,
-            *[
-                _running(m, F.col(m.name), window([*anchor, *flat, *f.extra], [_ROW]))
-                .alias(m.name)
-                for f in families
-                for m in f.measures
-            ],
-        )
-        .filter(F.col(_ROW) == 1)
-        .drop(_ROW)
-    )
+    done = rows.select(*keep, _ROW, *measured(lambda m: F.col(m.name), [*anchor, *flat], [_ROW]))
+    return done.filter(F.col(_ROW) == 1).drop(_ROW)
 
 
 def running_strict(

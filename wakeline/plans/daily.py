@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.text import venue_name
 from wakeline.operators.merge import aligned_union
+from wakeline.operators.models import TrainedModel, require_deployable
+from wakeline.operators.pricing import attach_expected_payout, price_table
+from wakeline.operators.triples import race_tickets
 from wakeline.plans.features import build
 from wakeline.schema import VENUES
 
@@ -52,3 +55,23 @@ def resolve_venue(spark, value: str) -> int:
     if found is None:
         raise ValueError(f"unknown venue {value!r}; known: {'/'.join(VENUES.values())}")
     return found
+
+
+#: Columns no card can state; they are typed NULLs on the day.
+UNKNOWN_ON_THE_DAY = [
+    "course", "finish_position", "finish_status", "start_timing", "exhibition_time", "weather",
+    "wind_direction", "wind_speed_m", "wave_height_cm", "decision",
+]
+
+
+def score_day(model: TrainedModel, history: DataFrame, card: DataFrame, day) -> DataFrame:
+    """Probabilities for the card's rows; every row of the card is kept."""
+    require_deployable(model)
+    hidden = card.drop(*[c for c in UNKNOWN_ON_THE_DAY if c in card.columns])
+    return model.predict(features_for_day(history, hidden, day))
+
+
+def price_day(scored: DataFrame, dividends: DataFrame, day) -> DataFrame:
+    """Tickets of the day priced with dividends of strictly earlier dates."""
+    prices = price_table(dividends.filter(F.col("race_date") < F.lit(day)))
+    return attach_expected_payout(race_tickets(scored), prices)
