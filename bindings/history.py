@@ -266,5 +266,5 @@ def leak_proof(spark, sf):
     }
     return point_in_time_violations(
         lambda df: features.build(df, mode="strict", realised=False),
-        table, MEMBER_KEYS, "race_date", day, outcome,
+        table, MEMBER_KEYS, "race_date", day, outcome, columns=feature_columns("morning"),
     )

@@ -152,8 +152,11 @@ def regexp_explode(spark, sf):
         return F.concat(*parts)
 
     line = F.concat(F.lit("拡連複   "), item(0), F.lit("   "), item(1), F.lit("   "), item(2))
-    entries = tx.payout_entries(tx.normalise_digits(tx.strip_bet_label(line)))
-    return read(spark, sf, "orders").select("o_orderkey", F.posexplode(entries).alias("i", "e")).select(
+    lines = read(spark, sf, "orders").select(
+        "o_orderkey", tx.normalise_digits(tx.strip_bet_label(line)).alias("paid")
+    )
+    entries = tx.payout_entries(F.col("paid"))
+    return lines.select("o_orderkey", F.posexplode(entries).alias("i", "e")).select(
         "o_orderkey", "i", F.col("e.combo").alias("combo"), F.col("e.yen").cast("bigint").alias("yen"),
         F.col("e.popularity").cast("bigint").alias("popularity"),
     )

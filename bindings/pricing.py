@@ -94,9 +94,13 @@ def dividends(spark, sf):
     return pricing.load_dividends(payouts(spark, sf))
 
 
+def _priced(spark, sf):
+    # the keys of both tables were checked when they were written
+    return pricing.attach_odds(tickets(spark, sf), odds(spark, sf), check=False)
+
+
 def settled(spark, sf):
-    priced = pricing.attach_odds(tickets(spark, sf), odds(spark, sf))
-    return pricing.settle_tickets(priced, dividends(spark, sf))
+    return pricing.settle_tickets(_priced(spark, sf), dividends(spark, sf), check=False)
 
 
 def _rolled(df):
@@ -167,7 +171,7 @@ def asof_price_query(spark, sf):
 @query("odds_price_join", f"""WITH {SETTLED_SQL}
 SELECT race_no, combination, odds, round(expected_payout, 6) AS expected_payout, round(ev, 6) AS ev FROM priced""")
 def odds_query(spark, sf):
-    return pricing.attach_odds(tickets(spark, sf), odds(spark, sf)).select(
+    return _priced(spark, sf).select(
         "race_no", "combination", "odds", *_r("expected_payout", "ev")
     )
 
@@ -190,7 +194,7 @@ def implied_query(spark, sf):
 
 @query("kelly_stake", f"WITH {SETTLED_SQL} SELECT race_no, combination, round({_KELLY}, 9) AS stake FROM priced")
 def kelly_query(spark, sf):
-    priced = pricing.attach_odds(tickets(spark, sf), odds(spark, sf))
+    priced = _priced(spark, sf)
     stake = kelly_fraction(F.col("p_model"), F.col("expected_payout"))
     return priced.select("race_no", "combination", F.round(stake, 9).alias("stake"))
 
@@ -233,7 +237,7 @@ SELECT race_no, combination, round(ev, 6) AS ev, row_number() OVER (ORDER BY {_P
   count(*) OVER () AS picks
 FROM priced WHERE ev >= 1.2e0 ORDER BY {_PICKS_ORDER} LIMIT 80""")
 def picks_query(spark, sf):
-    priced = pricing.attach_odds(tickets(spark, sf), odds(spark, sf))
+    priced = _priced(spark, sf)
     return report.top_picks(priced, 1.2).select(
         "race_no", "combination", *_r("ev"), F.col("place").cast("long").alias("place"), "picks"
     )

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.text import canonical_combination
 from wakeline.operators.prefix import ordinals
+from wakeline.operators.quality import assert_unique
 from wakeline.operators.triples import triple_table
-from wakeline.schema import GRADES, RACE_KEYS, WEATHERS, WIND_DIRECTIONS
+from wakeline.schema import GRADES, RACE_KEYS, TICKET_KEYS, WEATHERS, WIND_DIRECTIONS
 from wakeline.session import staged, tune
 
 
@@ -196,7 +197,8 @@ def build_payouts(spark: SparkSession, sf: str) -> DataFrame:
             for bet, parts, divisor in _BETS
         ]
     )
-    return podium.select(*RACE_KEYS, F.inline(rows))
+    paid = podium.select(*RACE_KEYS, F.inline(rows))
+    return assert_unique(paid, [*TICKET_KEYS, "bet_type"], "payouts")
 
 
 def payouts(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,7 +224,8 @@ def build_odds(spark: SparkSession, sf: str) -> DataFrame:
     rows = groups.select(*RACE_KEYS, F.explode(triple_table(6)).alias("t"))
     i, j, k = (F.col(f"t.{x}") for x in "ijk")
     price = 1 + ((F.col("race_no") * 31 + i * 36 + j * 6 + k * 7) % 997) / 10.0
-    return rows.select(*RACE_KEYS, "t.combination", price.alias("odds"))
+    priced = rows.select(*RACE_KEYS, "t.combination", price.alias("odds"))
+    return assert_unique(priced, TICKET_KEYS, "odds")
 
 
 def odds(spark: SparkSession, sf: str) -> DataFrame:

@@ -70,7 +70,7 @@ def squash_name(text: Column) -> Column:
 
 
 def null_if_empty(text: Column) -> Column:
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))
 
 
 def group(text: Column, pattern: str, index: int) -> Column:

@@ -123,7 +123,10 @@ def attach_odds(tickets: DataFrame, odds: DataFrame, *, check: bool = True) -> D
         raise ValueError(f"odds are missing columns: {missing}")
     if check:
         assert_unique(odds, TICKET_KEYS, "odds")
-    priced = tickets.join(odds.select(*TICKET_KEYS, "odds"), TICKET_KEYS, "inner")
+    # Size estimates do not see the explosion behind the tickets, so the join strategy
+    # is stated: merge, on tickets that are already placed by group.
+    prices = odds.select(*TICKET_KEYS, "odds").hint("merge")
+    priced = tickets.join(prices, TICKET_KEYS, "inner")
     return priced.withColumns(
         {
             "expected_payout": F.col("odds") * TICKET_YEN,
@@ -139,9 +142,9 @@ def settle_tickets(tickets: DataFrame, dividends: DataFrame, *, check: bool = Tr
     """
     if check:
         assert_unique(dividends, TICKET_KEYS, "dividends")
-    eligible = tickets.join(dividends.select(*RACE_KEYS), RACE_KEYS, "left_semi")
+    eligible = tickets.join(dividends.select(*RACE_KEYS).hint("merge"), RACE_KEYS, "left_semi")
     paid = dividends.select(*TICKET_KEYS, F.col("payout_yen").cast("double").alias("payout_yen"))
-    return eligible.join(paid, TICKET_KEYS, "left").withColumns(
+    return eligible.join(paid.hint("merge"), TICKET_KEYS, "left").withColumns(
         {
             "hit": F.col("payout_yen").isNotNull(),
             "payout_yen": F.coalesce("payout_yen", F.lit(0.0)),
@@ -153,9 +156,6 @@ def settle_tickets(tickets: DataFrame, dividends: DataFrame, *, check: bool = Tr
 # Drawdown and roll-ups
 # ---------------------------------------------------------------------------
 
-_SUMS = ("bets", "groups_bet", "hits", "staked", "returned")
-
-
 def fold_curve(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str] = ()
 ) -> DataFrame:
@@ -193,44 +193,75 @@ def as_curve(df: DataFrame, pnl) -> DataFrame:
     )
 
 
+def _fold_days(pieces: DataFrame, keys: Sequence[str], order: Sequence[str], sums) -> DataFrame:
+    """Pieces to blocks, blocks to days, days to one curve per key."""
+    block = [*keys, "race_date", "stadium_id", "race_block"]
+    by_block = fold_curve(pieces, block, order, sums)
+    by_day = fold_curve(by_block, [*keys, "race_date"], ["stadium_id", "race_block"], sums)
+    if keys:
+        return fold_curve(by_day, keys, ["race_date"], sums)
+    return fold_curve(by_day.withColumn("_all", F.lit(0)), ["_all"], ["race_date"], sums)
+
+
 def max_drawdown(df: DataFrame, keys: Sequence[str], pnl: str, sums: Sequence[str] = ()) -> DataFrame:
     """Largest fall below the running peak (at least 0) per key, plus plain sums.
 
     Rows are ordered by group keys, then combination, which makes ties definite.
     """
-    if "race_block" not in df.columns:
-        df = blocked(df, size=GROUPS_PER_BLOCK)
-    pieces = as_curve(df, F.col(pnl))
-    block = [*keys, "race_date", "stadium_id", "race_block"]
-    by_block = fold_curve(pieces, block, ["race_no", "combination"], sums)
-    by_day = fold_curve(by_block, [*keys, "race_date"], ["stadium_id", "race_block"], sums)
-    top = list(keys) or [F.lit(0).alias("_all")]
-    folded = fold_curve(by_day.select("*", *([] if keys else top)),
-                        list(keys) or ["_all"], ["race_date"], sums)
+    pieces = as_curve(blocked(df, size=GROUPS_PER_BLOCK), F.col(pnl))
+    folded = _fold_days(pieces, keys, ["race_no", "combination"], sums)
     return folded.select(*keys, *sums, F.col("drawdown").alias("max_dd_yen"))
 
 
-def _staked(tickets: DataFrame, thresholds, stakings, bankroll: float) -> DataFrame:
-    """One row per ticket and strategy that buys it, with stake and return."""
-    unknown = sorted(set(stakings) - set(STAKINGS))
-    if unknown:
-        raise ValueError(f"unknown staking scheme {unknown}; choose from {list(STAKINGS)}")
-    stake = {
+def _group_curves(
+    settled: DataFrame, strategies: Sequence[tuple[float, str]], bankroll: float
+) -> DataFrame:
+    """One row per group with its ticket count and each strategy's piece of curve.
+
+    Tickets lie together by group and are sorted by combination after settlement, so
+    all strategies are run over them side by side without moving a ticket again. A
+    group has at most as many tickets as combinations.
+    """
+    stakes = {
         "flat": F.lit(TICKET_YEN),
         "quarter_kelly": kelly_fraction(F.col("p_model"), F.col("expected_payout")) * bankroll,
     }
-    schemes = F.array(
-        *[F.struct(F.lit(s).alias("staking"), stake[s].alias("stake")) for s in stakings]
+    unknown = sorted({s for _, s in strategies} - set(stakes))
+    if unknown:
+        raise ValueError(f"unknown staking scheme {unknown}; choose from {list(STAKINGS)}")
+    schemes = list(dict.fromkeys(s for _, s in strategies))
+    staked = settled.withColumns({f"_stake_{s}": stakes[s] for s in schemes})
+    rows = staked.selectExpr(
+        *RACE_KEYS, "combination", "hit",
+        *[
+            f"CASE WHEN ev >= {t}D THEN _stake_{s} ELSE 0.0D END AS st{i}"
+            for i, (t, s) in enumerate(strategies)
+        ],
+        *[
+            f"CASE WHEN hit AND ev >= {t}D THEN _stake_{s} / {TICKET_YEN}D * payout_yen "
+            f"ELSE 0.0D END AS rt{i}"
+            for i, (t, s) in enumerate(strategies)
+        ],
+        *[f"coalesce(ev >= {t}D, false) AS in{i}" for i, (t, _) in enumerate(strategies)],
     )
-    levels = F.array(*[F.lit(float(t)) for t in thresholds])
-    # tickets below the lowest threshold leave before anything is multiplied
-    bought = tickets.filter(F.col("ev") >= float(min(thresholds))).select(
-        "*", F.explode(F.filter(levels, lambda t: F.col("ev") >= t)).alias("threshold")
+    over = (
+        f"OVER (PARTITION BY {', '.join(RACE_KEYS)} ORDER BY combination "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     )
-    bought = bought.select("*", F.explode(schemes).alias("_s")).select("*", "_s.*").drop("_s")
-    returned = F.when(F.col("hit"), F.col("stake") / TICKET_YEN * F.col("payout_yen")).otherwise(0.0)
-    return bought.withColumn("returned", returned).withColumn(
-        "pnl", F.col("returned") - F.col("stake")
+    each = range(len(strategies))
+    curve = rows.selectExpr("*", *[f"sum(rt{i} - st{i}) {over} AS c{i}" for i in each])
+    fallen = curve.selectExpr(
+        "*", *[f"greatest(0.0D, max(c{i}) {over}) - c{i} AS d{i}" for i in each]
+    )
+    pieces = ", ".join(
+        f"named_struct('threshold', {t}D, 'staking', '{s}', 'bets', count_if(in{i}), "
+        f"'hits', count_if(in{i} AND hit), 'staked', sum(st{i}), 'returned', sum(rt{i}), "
+        f"'total', sum(rt{i} - st{i}), 'high', greatest(0.0D, max(c{i})), 'low', min(c{i}), "
+        f"'drawdown', max(d{i}))"
+        for i, (t, s) in enumerate(strategies)
+    )
+    return fallen.groupBy(*RACE_KEYS).agg(
+        F.count(F.lit(1)).alias("tickets"), F.expr(f"array({pieces})").alias("_pieces")
     )
 
 
@@ -243,57 +274,33 @@ def threshold_rollup(
     bankroll: float = BANKROLL,
 ) -> DataFrame:
     """Every threshold and staking scheme in one pass; strategies without bets are kept."""
+    strategies = [(float(t), s) for s in stakings for t in thresholds]
+    groups = blocked(_group_curves(settled, strategies, bankroll))
     by = ["year"] if by_year else []
-    if by_year:
-        settled = settled.withColumn("year", F.year("race_date"))
-
-    totals = (
-        settled.groupBy(*by, *RACE_KEYS)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*by)
-        .agg(F.sum("n").alias("total_tickets"), F.count(F.lit(1)).alias("total_groups"))
-    )
-    grid = F.array(
-        *[
-            F.struct(F.lit(float(t)).alias("threshold"), F.lit(s).alias("staking"))
-            for s in stakings
-            for t in thresholds
-        ]
-    )
-    strategies = totals.select("*", F.explode(grid).alias("_g")).select("*", "_g.*").drop("_g")
-
+    pieces = groups.select(
+        *RACE_KEYS, "race_block", "tickets", F.lit(1).cast("long").alias("groups"),
+        *([F.year("race_date").alias("year")] if by_year else []),
+        F.inline("_pieces"),
+    ).withColumn("groups_bet", (F.col("bets") > 0).cast("long"))
     keys = ["threshold", "staking", *by]
-    first = Window.partitionBy(*keys, "race_date", "stadium_id", "race_block").orderBy(
-        "race_no", "combination"
-    )
-    bought = blocked(_staked(settled, thresholds, stakings, bankroll)).select(
-        "*",
-        F.lit(1).cast("long").alias("bets"),
-        F.col("hit").cast("long").alias("hits"),
-        F.col("stake").alias("staked"),
-        F.coalesce((F.lag("race_no").over(first) != F.col("race_no")).cast("long"), F.lit(1))
-        .alias("groups_bet"),
-    )
-    rolled = max_drawdown(bought, keys, "pnl", _SUMS)
-
-    def zero(name: str):
-        return F.coalesce(F.col(name), F.lit(0))
+    sums = ("tickets", "groups", "bets", "groups_bet", "hits", "staked", "returned")
+    rolled = _fold_days(pieces, keys, ["race_no"], sums)
 
     def ratio(a: str, b: str):
         return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
 
-    return strategies.join(rolled, keys, "left").select(
+    return rolled.select(
         *by,
         "threshold",
         "staking",
-        zero("bets").alias("bets"),
-        ratio("bets", "total_tickets").alias("purchase_rate"),
-        ratio("groups_bet", "total_groups").alias("races_bet"),
+        "bets",
+        ratio("bets", "tickets").alias("purchase_rate"),
+        ratio("groups_bet", "groups").alias("races_bet"),
         ratio("hits", "bets").alias("hit_rate"),
         ratio("returned", "staked").alias("roi"),
-        F.coalesce("max_dd_yen", F.lit(0.0)).alias("max_dd_yen"),
-        F.coalesce("staked", F.lit(0.0)).alias("staked_yen"),
-        F.coalesce("returned", F.lit(0.0)).alias("returned_yen"),
+        F.col("drawdown").alias("max_dd_yen"),
+        F.col("staked").alias("staked_yen"),
+        F.col("returned").alias("returned_yen"),
     )
 
 

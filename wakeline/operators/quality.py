@@ -31,12 +31,14 @@ def point_in_time_violations(
     cutoff,
     tampered: dict[str, Column],
     *,
+    columns: Sequence[str] | None = None,
     digits: int = 9,
 ) -> DataFrame:
     """Rebuild with the rows from ``cutoff`` on altered and compare the earlier rows.
 
-    One row: how many earlier rows were compared and how many differ. Rows are
-    matched by key and content in one aggregate, so no join of the two builds.
+    One row: how many earlier rows were compared and how many differ in ``columns``
+    (all, if not given). Rows are matched by key and content in one aggregate, so
+    there is no join of the two builds.
     """
     late = F.col(day_column) >= F.lit(cutoff)
     changed = df.withColumns({c: F.when(late, v).otherwise(F.col(c)) for c, v in tampered.items()})
@@ -47,6 +49,7 @@ def point_in_time_violations(
             F.round(F.col(f.name), digits) if f.dataType.typeName() in ("double", "float")
             else F.col(f.name)
             for f in built.schema.fields
+            if columns is None or f.name in columns
         ]
         return built.select(*keys, F.xxhash64(*content).alias("_h"), F.lit(sign).alias("_sign"))
 

@@ -35,14 +35,11 @@ def wide_groups(
 
 def triple_table(size: int) -> Column:
     """All ordered triples of 1..size as a literal array of (i, j, k, combination)."""
-    rows = [
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k"),
-            F.lit(f"{i}-{j}-{k}").alias("combination"),
-        )
+    rows = ", ".join(
+        f"named_struct('i', {i}, 'j', {j}, 'k', {k}, 'combination', '{i}-{j}-{k}')"
         for i, j, k in permutations(range(1, size + 1), 3)
-    ]
-    return F.array(*rows)
+    )
+    return F.expr(f"array({rows})")
 
 
 def race_tickets(
@@ -69,7 +66,12 @@ def race_tickets(
             F.raise_error("group probabilities must be non-negative and not all zero"),
         ).otherwise(F.transform("v", lambda x: x / F.col("_total"))),
     )
-    rows = checked.select(*keys, "v", F.explode(triple_table(size)).alias("t"))
+    # Groups are small and become 120 times larger here, so their partitions must not
+    # be sized by what comes in: a fixed count is left alone by adaptive coalescing.
+    # Later joins on group and combination keep this placement.
+    partitions = 4 * int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checked.select(*keys, "v").repartition(partitions, *keys)
+    rows = placed.select(*keys, "v", F.explode(triple_table(size)).alias("t"))
     a, b, c = (F.get("v", F.col(f"t.{x}") - 1) for x in "ijk")
     rest = 1.0 - a
     rest2 = rest - b

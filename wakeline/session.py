@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A join on (group, combination) may use rows already placed by group, so exploded
+    # tickets are not shuffled again.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # decode() may use the feeds' character set and marks bad bytes instead of failing
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.legacy.codingErrorAction": "true",
