@@ -254,11 +254,11 @@ def _group_curves(
         "*", *[f"greatest(0.0D, max(c{i}) {over}) - c{i} AS d{i}" for i in each]
     )
     pieces = ", ".join(
-        f"named_struct('threshold', {t}D, 'staking', '{s}', 'bets', count_if(in{i}), "
+        f"named_struct('strategy', {i}, 'bets', count_if(in{i}), "
         f"'hits', count_if(in{i} AND hit), 'staked', sum(st{i}), 'returned', sum(rt{i}), "
         f"'total', sum(rt{i} - st{i}), 'high', greatest(0.0D, max(c{i})), 'low', min(c{i}), "
         f"'drawdown', max(d{i}))"
-        for i, (t, s) in enumerate(strategies)
+        for i in each
     )
     return fallen.groupBy(*RACE_KEYS).agg(
         F.count(F.lit(1)).alias("tickets"), F.expr(f"array({pieces})").alias("_pieces")
@@ -282,17 +282,22 @@ def threshold_rollup(
         *([F.year("race_date").alias("year")] if by_year else []),
         F.inline("_pieces"),
     ).withColumn("groups_bet", (F.col("bets") > 0).cast("long"))
-    keys = ["threshold", "staking", *by]
+    # strategies are keyed by number: grouping and windows on a double would be
+    # normalised differently and shuffle twice
+    keys = ["strategy", *by]
     sums = ("tickets", "groups", "bets", "groups_bet", "hits", "staked", "returned")
     rolled = _fold_days(pieces, keys, ["race_no"], sums)
 
     def ratio(a: str, b: str):
         return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
 
+    numbered = [
+        F.array(*[F.lit(x) for x in column])[F.col("strategy")].alias(name)
+        for name, column in zip(("threshold", "staking"), zip(*strategies))
+    ]
     return rolled.select(
         *by,
-        "threshold",
-        "staking",
+        *numbered,
         "bets",
         ratio("bets", "tickets").alias("purchase_rate"),
         ratio("groups_bet", "groups").alias("races_bet"),
