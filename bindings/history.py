@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from bindings.tables import MEMBERS_SQL, members
 from wakeline.functions.encode import with_encodings
-from wakeline.operators.history import Rate, blocked, prior_counts, prior_counts_strict, shrunk_rates
+from wakeline.operators.history import Rate, prior_counts, prior_counts_strict, shrunk_rates
 from wakeline.operators.quality import point_in_time_violations
 from wakeline.plans import features
 from wakeline.plans.daily import features_for_day
-from wakeline.schema import MEMBER_KEYS, ORDER_KEYS, feature_columns
+from wakeline.schema import MEMBER_KEYS, feature_columns
 
 QUERIES = {}
 SQL = {}

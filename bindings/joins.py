@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bindings.history import PREPARED_SQL
 from bindings.tables import DIVIDENDS_SQL, MEMBERS_SQL, members, payouts, read
-from wakeline.functions.text import race_key_text, venue_name
+from wakeline.functions.text import race_key_text
 from wakeline.operators import merge, quality
 from wakeline.operators.asof import asof_join
 from wakeline.operators.history import Rate, shrunk_rates

@@ -48,8 +48,12 @@ def test_families_of_one_key_share_a_shuffle(spark):
 
 
 def test_ticket_explosion_needs_no_further_shuffle(spark, shuffled_joins):
+    """Groups are placed once before they explode; then only the price side moves."""
     scored, exploded = scoring.scored(spark, SF), scoring.tickets(spark, SF)
-    assert plan(exploded).count("Exchange") == plan(scored).count("Exchange")
+    priced = pricing._priced(spark, SF)
+    assert plan(exploded).count("Exchange") == plan(scored).count("Exchange") + 1
+    assert plan(priced).count("Exchange") == plan(exploded).count("Exchange") + 1
+    assert "BroadcastHashJoin" not in plan(priced)
 
 
 def test_windows_after_completeness_reuse_the_partitioning(spark, shuffled_joins):
