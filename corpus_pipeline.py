@@ -1,4 +1,8 @@
-"""A corpus pipeline in stages, each written as Parquet and read by the next."""
+"""A corpus pipeline in stages, each written as Parquet and read by the next.
+
+Toxic texts go, then texts that a quality rule rejects, then all but one of each group of near
+copies; personal data is masked in what stays, and the result is packed into sequences.
+"""
 
 from __future__ import annotations
 
@@ -7,26 +11,52 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm import packing, pii
+from wakeline.llm import minhash, packing, pii, quality, toxicity
 from wakeline.session import shared_dir
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.select(docs)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.deduplicate(docs)
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
 STAGES = [
-    ("pii", lambda spark, docs, sf_dir: pii.redact(docs)),
-    ("packing", lambda spark, docs, sf_dir: packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))),
+    ("toxicity", not_toxic),
+    ("quality", good),
+    ("near_duplicates", distinct_texts),
+    ("personal_data", masked),
+    ("packing", packed),
 ]
+
+#: A trained model and packing are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; every stage but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for n, (name, stage) in enumerate(STAGES):
-        result = stage(spark, docs, sf_dir)
-        if n + 1 == len(STAGES):
-            return result
-        path = f"{folder}/{n}-{name}"
-        result.write.parquet(path)
-        docs = spark.read.parquet(path)
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 QUERIES = {"pipeline": run}

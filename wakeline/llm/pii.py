@@ -72,14 +72,14 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return value.rlike(_OCTETS)
     if kind == "card":
-        return F.length(digits).between(13, 19) & F.luhn_check(digits)
+        return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
     if kind == "phone":
         return F.length(digits).between(9, 15)
     return F.lit(True)
 
 
 def _checked(text: Column, kind: str) -> Column:
-    found = F.col(f"_{kind}")
+    found = F.col(f"_wk_{kind}")
     some = F.when(F.exists(found, lambda v: _valid(kind, v)), located(text, KINDS[kind], found)).otherwise(
         _none("struct<start:int,end:int,value:string,before:string>"))
     return F.transform(F.filter(some, lambda s: _valid(kind, s["value"])), lambda s: F.struct(
@@ -95,11 +95,11 @@ def base_spans(docs: DataFrame, text: str = "text", out: str = "base") -> DataFr
     column = F.col(text)
     may = {"email": F.contains(column, F.lit("@")), "phone": F.contains(column, F.lit("+")),
            "ip": column.rlike(r"[0-9]\.[0-9]"), "card": column.rlike("[0-9]")}
-    df = docs.withColumns({f"_{k}": F.when(may[k], matches(column, p)).otherwise(_none("string"))
+    df = docs.withColumns({f"_wk_{k}": F.when(may[k], matches(column, p)).otherwise(_none("string"))
                            for k, p in KINDS.items()})
     # most candidates fail their check: look at positions only where one holds
-    df = df.withColumns({f"_{k}": _checked(column, k) for k in KINDS})
-    return df.withColumn(out, F.concat(*[F.col(f"_{k}") for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
+    df = df.withColumns({f"_wk_{k}": _checked(column, k) for k in KINDS})
+    return df.withColumn(out, F.concat(*[F.col(f"_wk_{k}") for k in KINDS])).drop(*[f"_wk_{k}" for k in KINDS])
 
 
 def candidates(docs: DataFrame, text: str = "text", base: str = "base", out: str = "cands") -> DataFrame:
@@ -123,10 +123,10 @@ def candidates(docs: DataFrame, text: str = "text", base: str = "base", out: str
                         (left != "").alias("placed"), overlap(s).alias("seed"))
 
     found = F.when(column.rlike("[0-9]"), matches(column, CANDIDATE)).otherwise(_none("string"))
-    df = docs.withColumn("_found", found)
-    spans = F.filter(located(column, CANDIDATE, F.col("_found")),
+    df = docs.withColumn("_wk_found", found)
+    spans = F.filter(located(column, CANDIDATE, F.col("_wk_found")),
                      lambda s: (F.length(s["value"]) >= MIN_CHARS) & (F.length(_digits(s["value"])) >= MIN_DIGITS))
-    return df.withColumn(out, F.filter(F.transform(spans, describe), lambda c: c["placed"])).drop("_found")
+    return df.withColumn(out, F.filter(F.transform(spans, describe), lambda c: c["placed"])).drop("_wk_found")
 
 
 def trusted_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
