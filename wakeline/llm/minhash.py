@@ -8,8 +8,9 @@ documents go through rank 0, then rank 1 and so on together, and a document leav
 
 Texts with equal shingle sets are merged first. Distinct sets that agree in a band share a bucket.
 Inside a bucket, signatures choose a spanning forest of likely pairs, which is verified on full
-shingle sets; then the likely pairs that still lie in different groups are verified too. So a
-bucket of n near copies costs about n checks, and no link that the bucket shows is lost.
+shingle sets; in buckets whose members then lie in different groups, the likely pairs between
+groups are verified in place, and only links that join groups come out. So a bucket of n near
+copies gives about n pairs, and no link that the bucket shows is lost.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ BANDS = PLACES // BAND_ROWS
 #: Share of equal places from which a pair is worth verifying; 5 standard deviations below 0.75.
 LIKELY = 0.55
 #: Members of a bucket compared in one piece; larger buckets are cut and meet piece by piece.
-PIECE = 1024
+PIECE = 512
 #: Shingles hashed together.
 BATCH_SHINGLES = 40_000
 #: Size of the table that keeps most unneeded texts from being hashed again (bits, fixed).
@@ -157,53 +158,81 @@ def _forest(sig: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _cross(sig: np.ndarray, group: np.ndarray) -> list[tuple[int, int]]:
-    """All likely pairs whose members lie in different groups."""
-    if len(np.unique(group)) == 1:
-        return []
-    least = LIKELY * sig.shape[1]
-    pairs = []
-    for i in range(len(sig) - 1):
-        near = (_agreement(sig[i + 1:], sig[i]) >= least) & (group[i + 1:] != group[i])
-        pairs += [(i, i + 1 + int(j)) for j in np.flatnonzero(near)]
-    return pairs
+def _similar_sets(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough, by their full contents."""
+    if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")  # merges the two runs
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
+def _bridges(sig: np.ndarray, group: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between different groups, verified; one for each two groups that become one.
 
+    Every likely pair is either verified or already in one group.
+    """
+    root = {g: g for g in group}
 
-def _bucket_pairs(members: DataFrame, cross: bool) -> DataFrame:
-    """Pairs (a < b) from rows (bucket, piece, doc, sig, group), each (bucket, piece) in one go.
+    def find(g: int) -> int:
+        while root[g] != g:
+            root[g] = root[root[g]]
+            g = root[g]
+        return g
 
-    A (bucket, piece) holds at most 2 * PIECE rows; rows stream through sorted, one at a time.
+    least, links = LIKELY * sig.shape[1], []
+    for i in range(len(sig) - 1):
+        near = _agreement(sig[i + 1:], sig[i])
+        likely = np.flatnonzero(near >= least)
+        for j in likely[np.argsort(-near[likely], kind="stable")] + i + 1:
+            a, b = find(group[i]), find(group[j])
+            if a != b and _similar_sets(sets[i], sets[j]):
+                root[max(a, b)] = min(a, b)
+                links.append((i, int(j)))
+    return links
+
+
+def _in_buckets(members: DataFrame, verify: bool) -> DataFrame:
+    """Pairs (a < b) from rows (bucket, piece, doc, sig[, group, shingles]), bucket by bucket.
+
+    Without ``verify``: a forest of likely pairs. With it: verified links between groups. A
+    (bucket, piece) holds at most about 2 * PIECE rows; rows stream through, sorted, and one
+    (bucket, piece) is held at a time.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    columns = ["bucket", "piece", "doc", "sig", *(["group", "shingles"] if verify else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        key = None
-        a, b = [], []
+        key, found = None, []
 
         def close() -> None:
             if len(held) > 1:
-                ids = np.array([x[0] for x in held])
+                ids = [x[0] for x in held]
                 sig = np.frombuffer(b"".join(x[1] for x in held), dtype=np.uint8).reshape(len(held), -1)
-                for i, j in _cross(sig, np.array([x[2] for x in held])) if cross else _forest(sig):
-                    if ids[i] != ids[j]:
-                        a.append(min(ids[i], ids[j]))
-                        b.append(max(ids[i], ids[j]))
+                pairs = _bridges(sig, [x[2] for x in held], [x[3] for x in held]) if verify else _forest(sig)
+                found.extend((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in pairs if ids[i] != ids[j])
+
+        def batch_of(pairs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=schema)
 
         for batch in batches:
-            for bucket, piece, doc, sig, group in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            rows = [batch.column(i).to_pylist() for i in range(len(columns) - verify)]
+            if verify:
+                rows.append([x.values.to_numpy() for x in batch.column(len(columns) - 1)])
+            for bucket, piece, *rest in zip(*rows):
                 if key != (bucket, piece):
                     close()
                     held, key = [], (bucket, piece)
-                    if len(a) > 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
-                        a, b = [], []
-                held.append((doc, sig, group))
+                    if len(found) > 10_000:
+                        yield batch_of(found)
+                        found = []
+                held.append(rest)
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        yield batch_of(found)
 
-    dealt = (members.select("bucket", "piece", "doc", "sig", "group")
-             .repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "doc"))
+    dealt = (members.select(columns).repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "doc"))
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -330,17 +359,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs, members = _buckets(reps)
     members = staged(_pieces(members).join(reps.select("doc", "sig"), "doc"), "members")
-    plain = members.withColumn("group", F.lit(0).cast("long"))
-    first = staged(pairs.unionByName(_bucket_pairs(plain, cross=False)).distinct(), "pairs")
+    first = staged(pairs.unionByName(_in_buckets(members, verify=False)).distinct(), "pairs")
     ends = first.select(F.col("a").alias("doc")).unionByName(
         members.select("doc")).unionByName(first.select(F.col("b").alias("doc"))).distinct()
     texts = staged(_needed(docs, staged(ends, "ends")).dropDuplicates(["doc"]), "shingles")
     links = staged(_verified(first, texts), "links")
     groups = staged(components(links), "groups")
 
-    labelled = members.join(groups, "doc", "left").withColumn("group", F.coalesce("component", "doc"))
-    second = _bucket_pairs(labelled, cross=True).join(first, ["a", "b"], "left_anti")
-    more = staged(_verified(staged(second, "pairs"), texts), "links")
+    # buckets whose members are not all in one group yet
+    labelled = staged(members.join(groups, "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component"), "labelled")
+    mixed = labelled.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("bucket")
+    more = staged(_in_buckets(labelled.join(mixed, "bucket").join(texts, "doc"), verify=True), "links")
     if more.take(1):
         groups = staged(components(links.unionByName(more)), "groups")
 
