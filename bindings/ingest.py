@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bindings.tables import read
 from wakeline.functions import text as tx
 from wakeline.session import tune
-from wakeline.sources.fixed_width import Field, Layout, parse_fixed_width, split_lines
+from wakeline.sources.fixed_width import parse_fixed_width, record, split_lines
 from wakeline.sources.pages import element_cells, is_unavailable
 
 QUERIES = {}
@@ -24,25 +24,22 @@ def query(name, sql=None):
     return register
 
 
-_SUPPLIER = Layout(
-    "supplier",
-    [
-        Field("suppkey", 0, 8, "int", allow_blank=False),
-        Field("name", 9, 28),
-        Field("nation", 37, 4, "int"),
-        Field("acctbal", 41, 12, "float", scale=100.0),
-        Field("status", 53, 4, "int"),
-    ],
+_SUPPLIER = record(
+    ("suppkey", 0, 8, "bigint", {"required": True}),
+    ("name", 9, 28),
+    ("nation", 37, 4, "bigint"),
+    ("acctbal", 41, 12, "double", {"scale": 100.0}),
+    ("status", 53, 4, "bigint"),
 )
 
 
 @query("fixed_width_parse", """SELECT s_suppkey AS suppkey, s_name AS name,
   CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(s_nationkey AS BIGINT) END AS nation,
   round(s_acctbal, 2) AS acctbal, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 1 END AS status,
-  CASE WHEN s_suppkey % 5 = 0 THEN 'status:not an integer' ELSE '' END AS problems
+  CASE WHEN s_suppkey % 5 = 0 THEN 'status:bigint' ELSE '' END AS problems
 FROM supplier""")
 def fixed_width(spark, sf):
-    """Suppliers written as one file per nation of byte records, then read back.
+    """Suppliers written as files of many byte records each, then split and read back.
 
     Some fields are blank, some broken; names are padded with full-width blanks and
     numbers are partly full-width.
@@ -58,8 +55,11 @@ def fixed_width(spark, sf):
         F.encode(F.concat(F.lpad(cents, 12, " "), F.when(key % 5 == 0, "x1  ").otherwise("  01")), "US-ASCII"),
     )
     tune(spark)
-    records = rows.select("s_nationkey", F.concat(line, F.lit(b"\r\n\r\n")).alias("content"))
-    lines = split_lines(records, "content", keep=["s_nationkey"])
+    # files of at most 64 records, so that no file grows with the data
+    records = rows.select(F.floor(key / 64).alias("file"), F.base64(F.concat(line, F.lit(b"\r\n\r\n"))).alias("line"))
+    whole = F.aggregate("lines", F.lit(b""), lambda a, x: F.concat(a, F.unbase64(x)))
+    files = records.groupBy("file").agg(F.collect_list("line").alias("lines")).select("file", whole.alias("content"))
+    lines = split_lines(files, "content", keep=["file"])
     parsed = parse_fixed_width(lines, "line", _SUPPLIER)
     problems = F.array_join(
         F.transform("errors", lambda e: F.concat(e["field"], F.lit(":"), e["reason"])), ";"

@@ -11,7 +11,7 @@ from wakeline.operators import merge, quality
 from wakeline.operators.asof import asof_join
 from wakeline.operators.history import Rate, shrunk_rates
 from wakeline.operators.pricing import load_dividends
-from wakeline.operators.prefix import carry_forward
+from wakeline.operators.prefix import Family, Measure, carry_forward, running
 from wakeline.plans import features
 from wakeline.plans.daily import resolve_names, select_groups
 from wakeline.schema import GRADES, RACE_KEYS
@@ -188,8 +188,8 @@ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') s
 ON p.user_id = s.user_id AND p.ts >= s.ts"""
 
 
-def _asof(spark, sf, **options):
-    rows = read(spark, sf, "events")
+def _asof(spark, sf, rows=None, **options):
+    rows = read(spark, sf, "events") if rows is None else rows
     purchases = rows.filter(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
     signups = rows.filter(F.col("event_type") == "signup").select(
         "user_id", "ts", F.col("event_id").alias("signup_id"), F.col("value").alias("signup_value")
@@ -211,6 +211,50 @@ def asof_chunked(spark, sf):
     return _asof(spark, sf, hot_rows=5)
 
 
+_HOLES = "SELECT * REPLACE (CASE WHEN event_id % 7 <> 0 THEN ts END AS ts) FROM events"
+_ASOF_NULL_SQL = f"""WITH e AS ({_HOLES})
+SELECT p.event_id, p.user_id, s.event_id AS signup_id, s.value AS signup_value
+FROM (SELECT * FROM e WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'signup' AND ts IS NOT NULL) s
+ON p.user_id = s.user_id AND p.ts >= s.ts"""
+_NULL_ORDER_SQL = f"""WITH e AS ({_HOLES})
+SELECT event_id, user_id, sum(event_id) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)::BIGINT AS before FROM e"""
+
+
+def _holes(spark, sf):
+    """Events of which every seventh has no instant."""
+    return read(spark, sf, "events").withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
+
+
+def _null_order(spark, sf, **options):
+    rows = _holes(spark, sf).withColumns(
+        {"day": F.to_date("ts"), "minute": F.date_trunc("minute", "ts")})
+    before = Family((), (Measure("before", F.col("event_id")),))
+    return running(rows, ["user_id"], [before], ["ts", "event_id"], [["day"], ["minute"]],
+                   **options).select("event_id", "user_id", "before")
+
+
+@query("asof_join_null_ts", _ASOF_NULL_SQL)
+def asof_null(spark, sf):
+    return _asof(spark, sf, rows=_holes(spark, sf))
+
+
+@query("asof_join_null_ts_chunked", _ASOF_NULL_SQL)
+def asof_null_chunked(spark, sf):
+    return _asof(spark, sf, rows=_holes(spark, sf), hot_rows=5)
+
+
+@query("prior_counts_null_order", _NULL_ORDER_SQL)
+def null_order(spark, sf):
+    return _null_order(spark, sf)
+
+
+@query("prior_counts_null_order_chunked", _NULL_ORDER_SQL)
+def null_order_chunked(spark, sf):
+    return _null_order(spark, sf, hot_rows=5)
+
+
 # --- logs ---------------------------------------------------------------------
 
 
@@ -506,13 +550,23 @@ def parse_samples(spark, sf):
 
 @query("layout_suspects", f"""WITH {_OUTCOMES_SQL},
 y AS (SELECT year(day) AS year, sum(records_ok) / sum(records_ok + records_failed) AS r FROM o GROUP BY 1 HAVING sum(records_ok + records_failed) > 0)
-SELECT CAST(year AS INT) AS year, round(r, 6) AS record_success_rate, r = (SELECT min(r) FROM y) AS is_worst FROM y WHERE r < 0.99""")
+SELECT CAST(year AS INT) AS year, round(r, 6) AS record_success_rate, r = (SELECT min(r) FROM y) AS is_worst FROM y WHERE r < 0.99 OR r = (SELECT min(r) FROM y)""")
 def layout_suspects(spark, sf):
     return quality.layout_suspects(outcomes(spark, sf)).select(
         "year", *_r("record_success_rate"), "is_worst"
     )
 
 
+@query("worst_year", f"""WITH {_OUTCOMES_SQL},
+y AS (SELECT year(day) AS year, sum(records_ok) / sum(records_ok + records_failed) AS r FROM o GROUP BY 1 HAVING sum(records_ok + records_failed) > 0)
+SELECT CAST(year AS INT) AS year, round(r, 6) AS record_success_rate, true AS is_worst FROM y ORDER BY r, year LIMIT 1""")
+def worst_year(spark, sf):
+    """The worst year is reported even where every year passes."""
+    return quality.layout_suspects(outcomes(spark, sf), threshold=0.0).select(
+        "year", *_r("record_success_rate"), "is_worst"
+    )
+
+
 @query("status_rollup", """SELECT count(*) AS attempted, count(*) FILTER (WHERE event_type = 'purchase') AS downloaded,
   count(*) FILTER (WHERE event_type = 'view') AS skipped, count(*) FILTER (WHERE event_type = 'click') AS missing,
   count(*) FILTER (WHERE event_type = 'signup') AS known_missing, count(*) FILTER (WHERE event_type = 'error') AS errors,

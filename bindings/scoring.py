@@ -86,6 +86,16 @@ def softmax_query(spark, sf):
     return group_softmax(members(spark, sf)).select("race_no", "lane", *_r("p_win"))
 
 
+@query("group_softmax_null_keys", f"""WITH {PREPARED_SQL},
+k AS (SELECT race_no, lane, score, CASE WHEN race_no % 5 <> 0 THEN race_no END AS g FROM prepared)
+SELECT race_no, lane, round(e / sum(e) OVER (PARTITION BY g), 9) AS p_win
+FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY g)) AS e FROM k)""")
+def softmax_null_keys(spark, sf):
+    """Members without a group form a (large) group of their own."""
+    rows = members(spark, sf).withColumn("g", F.when(F.col("race_no") % 5 != 0, F.col("race_no")))
+    return group_softmax(rows, ["g"]).select("race_no", "lane", *_r("p_win", digits=9))
+
+
 @query("interp_knots", f"WITH {SCORED_SQL} SELECT race_no, lane, round({interp_sql('p_win')}, 6) AS calibrated FROM scored")
 def interp_query(spark, sf):
     rows = scored(spark, sf).withColumn("calibrated", interp(F.col("p_win"), KNOTS_X, KNOTS_Y))

@@ -14,12 +14,12 @@ START = datetime(2024, 1, 1)
 
 
 def sample(n, seed, hot_share=0.4):
-    """Rows (id, k, sub, ts, v); one key holds a large share, keys and values may be NULL."""
+    """Rows (id, k, sub, ts, v); one key holds a large share, any but id and sub may be NULL."""
     rng = random.Random(seed)
     out = []
     for i in range(n):
         k = 1 if rng.random() < hot_share else rng.choice([2, 3, 4, None])
-        ts = START + timedelta(minutes=rng.randrange(60 * 72))
+        ts = START + timedelta(minutes=rng.randrange(60 * 72)) if rng.random() > 0.15 else None
         out.append((i, k, rng.randrange(2), ts, rng.choice([None, rng.randrange(100)])))
     return out
 
@@ -36,14 +36,19 @@ def frame(spark):
 LEVELS = [["day"], ["hour"]]
 
 
+def instant(row):
+    """A missing instant comes before all others."""
+    return row[3] or datetime.min
+
+
 def expected(data, key, how, inclusive=False, strict=False):
     out = {}
-    ordered = sorted(data, key=lambda r: (r[3], r[0]))
+    ordered = sorted(data, key=lambda r: (instant(r), r[0]))
     for i, row in enumerate(ordered):
         seen = [
             r[4] for j, r in enumerate(ordered)
             if key(r) == key(row) and r[4] is not None
-            and ((r[3] < row[3]) if strict else (j <= i if inclusive else j < i))
+            and ((instant(r) < instant(row)) if strict else (j <= i if inclusive else j < i))
         ]
         total = {"sum": sum(seen), "max": max(seen, default=None), "last": seen[-1] if seen else None}
         out[row[0]] = total[how] if how != "sum" or seen else None
@@ -103,12 +108,12 @@ def test_carry_forward_includes_the_row(frame, hot_rows):
 
 @pytest.mark.parametrize("hot_rows", [1_000, 30])
 def test_ordinals(frame, hot_rows):
-    data = [r for r in sample(200, seed=5) if r[1] is not None]
+    data = sample(200, seed=5)
     df = frame(data).withColumn("down", -F.col("id")).withColumn("down10", F.floor(F.col("down") / 10))
     got = ordinals(df, ["k"], {"up": (["ts", "id"], LEVELS), "rev": (["down"], [["down10"]])},
                    hot_rows=hot_rows).collect()
     for key in {r[1] for r in data}:
-        mine = sorted((r for r in data if r[1] == key), key=lambda r: (r[3], r[0]))
+        mine = sorted((r for r in data if r[1] == key), key=lambda r: (instant(r), r[0]))
         assert {r["id"]: r["up"] for r in got if r["k"] == key} == {
             r[0]: i for i, r in enumerate(mine, 1)}
         back = sorted((r for r in data if r[1] == key), key=lambda r: -r[0])

@@ -133,7 +133,7 @@ def test_splits(spark, rows):
     assert fit.count() == 9 and [r["x"] for r in valid.collect()] == [2024]
     with pytest.raises(RuntimeError, match="final"):
         splits.hold_out(df)
-    assert splits.hold_out(df, i_understand_this_is_final=True).count() == 2
+    assert splits.hold_out(df, final_evaluation=True).count() == 2
     parts = {r["race_date"]: r["part"] for r in splits.chronological(df).collect()}
     assert [parts[d] for d in sorted(parts)] == ["train"] * 8 + ["valid"] * 2 + ["test"] * 2
     folds = splits.walk_forward_folds(df, 2015, 2019, min_past_rows=3).collect()

@@ -12,7 +12,7 @@ from wakeline.plans.ingest import ingest, upsert
 from wakeline.schema import PAYOUTS
 from wakeline.sources import pages as pg
 from wakeline.sources.feeds import parse_card_feed, parse_result_feed, read_feed_files
-from wakeline.sources.fixed_width import Field, Layout, parse_fixed_width, split_lines
+from wakeline.sources.fixed_width import byte_map, parse_fixed_width, record as record_of, split_lines
 from wakeline.sources.price_log import LOG_ORDER, coverage_by_month, log_prices, read_price_logs, recorded_keys
 from wakeline.sources.tables import conform, read_table, write_by_year, write_csv
 
@@ -26,18 +26,16 @@ def cp(text):
 # --- fixed width ---------------------------------------------------------------
 
 
-def test_layout_checks():
-    layout = Layout("t", [Field("b", 4, 2), Field("a", 0, 2)])
-    assert layout.record_length == 6 and layout.gaps() == [(2, 4)]
-    for bad in (lambda: Layout("t", []), lambda: Layout("t", [Field("a", 0, 3), Field("b", 2, 1)]),
-                lambda: Layout("t", [Field("a", 0, 1), Field("a", 1, 1)]), lambda: Field("a", -1, 1),
-                lambda: Field("a", 0, 0), lambda: Field("a", 0, 1, scale=0), lambda: Field("a", 0, 1, "blob")):
+def test_record_checks():
+    assert byte_map(record_of(("b", 4, 2), ("a", 0, 2))) == ["a", "a", None, None, "b", "b"]
+    for bad in ([], [("a", 0, 3), ("b", 2, 1)], [("a", 0, 1), ("a", 1, 1)], [("a", -1, 1)], [("a", 0, 0)],
+                [("a", 0, 1, "double", {"scale": 0})], [("a", 0, 1, "blob")]):
         with pytest.raises(ValueError):
-            bad()
+            record_of(*bad)
 
 
-LAYOUT = Layout("t", [Field("lane", 0, 1, "int", allow_blank=False), Field("name", 2, 12),
-                      Field("rate", 14, 5, "float", scale=100.0), Field("code", 19, 2, "raw")])
+LAYOUT = record_of(("lane", 0, 1, "bigint", {"required": True}), ("name", 2, 12),
+                   ("rate", 14, 5, "double", {"scale": 100.0}), ("code", 19, 2, "binary"))
 
 
 def parse(spark, *records):
@@ -58,11 +56,11 @@ def test_bad_fields_are_listed_and_the_rest_kept(spark):
         spark, b"  " + b" " * 12 + b"     zz", b"2 abc         x61 2zz",
         b"3 \x81" + b" " * 10 + b"\x81" + b"  100zz", b"4 tiny",
     )
-    assert [(e["field"], e["reason"]) for e in blank["errors"]] == [("lane", "blank but required")]
+    assert [(e["field"], e["reason"]) for e in blank["errors"]] == [("lane", "empty")]
     assert blank["rate"] is None and blank["name"] == ""
-    assert (text["lane"], text["name"], text["errors"][0]["reason"]) == (2, "abc", "not a number")
-    assert broken["name"] is None and broken["errors"][0]["reason"] == "not decodable" and broken["rate"] == 1.0
-    assert short["lane"] is None and short["errors"][0]["reason"] == "needs 21 bytes"
+    assert (text["lane"], text["name"], text["errors"][0]["reason"]) == (2, "abc", "double")
+    assert broken["name"] is None and broken["errors"][0]["reason"] == "bytes" and broken["rate"] == 1.0
+    assert short["lane"] is None and short["errors"][0]["reason"] == "short"
 
 
 def test_line_ends(spark):
@@ -118,7 +116,7 @@ CARD = b"\r\n".join([
     cp("　１Ｒ  一般（Ｂ組）          Ｈ１８００ｍ  電話投票締切予定１５：１５"),
     b"-" * 79, *[card_entry(i, 4000 + i, "林　恵祐" if i == 1 else "山田太郎", motor=30 + i) for i in range(1, 7)],
     cp("　２Ｒ  予選        進入固定  Ｈ１２００ｍ  電話投票締切予定１６：００"),
-    card_entry(1, 4100), card_entry(2, 4101)[:46] + b" x5" + card_entry(2, 4101)[49:],
+    card_entry(1, 4100), card_entry(2, 4101)[:46] + b" x5" + card_entry(2, 4101)[49:], card_entry(3, 4102)[:78],
     b"24BEND", b"12BBGN", card_entry(1, 4200), b"12BEND", b"FINALB",
 ])
 
@@ -140,9 +138,11 @@ def test_card_feed(spark):
     assert (entries[1, 2]["branch"], entries[1, 2]["weight_kg"], entries[1, 2]["boat_top2_rate"]) == ("長崎", 51.0, 40.0)
     assert entries[2, 2]["motor_no"] is None and entries[2, 2]["racer_id"] == 4101
     out = {r["source"]: r for r in feed.outcomes.collect()}
-    assert (out["b200101"]["records_ok"], out["b200101"]["records_failed"]) == (8, 2)
-    assert any("before any race header" in s for s in out["b200101"]["samples"])
+    assert (out["b200101"]["records_ok"], out["b200101"]["records_failed"]) == (8, 3)
+    assert (out["b200101"]["fatal"], out["b200102"]["fatal"]) == (None, "no section")
     assert (out["b200102"]["records_ok"], out["b200102"]["samples"]) == (0, None)
+    errors = {(r["code"], r["field"], r["line"][:6]) for r in feed.errors.collect()}
+    assert errors == {("no group", None, "1 4200"), ("bigint", "motor_no", "2 4101"), ("short", None, "3 4102")}
 
 
 def result_row(pos, lane, racer, course, start="  0.14  ", motor=36):
@@ -154,7 +154,7 @@ RESULT = b"\r\n".join([
     b"STARTK", b"24KBGN", cp("   1R       一般（Ｂ組）                 H1800m  晴　  風  北　　 2m  波　  1cm"),
     cp("  着 艇 登番 　選　手　名　　ﾓｰﾀｰ ﾎﾞｰﾄ 展示 進入 ｽﾀｰﾄﾀｲﾐﾝｸ ﾚｰｽﾀｲﾑ まくり差し"), b"-" * 70,
     *[result_row(f"{i:02d}", lane, 4000 + lane, i, motor=30 + lane) for i, lane in enumerate((4, 1, 2, 3, 5), 1)],
-    result_row("F ", 6, 4006, "", "  F.01  "), b"",
+    result_row("F ", 6, 4006, "", "  F.01  "), result_row("06", 6, 4006, 6)[:50], b"",
     cp("        単勝     4          490  "), cp("        複勝     4          200  1          180  "),
     cp("        ２連単   4-1       1210  人気     3 "), cp("        ２連複   4-1        800  人気     2 "),
     cp("        拡連複   4-1        300  人気     1 "), cp("                 2-4        510  人気     7 "),
@@ -181,7 +181,8 @@ def test_result_feed(spark):
         ("wide", "2-4"): (510, 7), ("wide", "1-2"): (420, 4), ("trifecta", "4-1-2"): (1730, 5),
         ("trio", "1-2-4"): (990, 6)}
     out = feed.outcomes.first()
-    assert (out["records_ok"], out["records_failed"]) == (6, 0)
+    assert (out["records_ok"], out["records_failed"]) == (6, 1)
+    assert [(r["code"], r["line"][:13]) for r in feed.errors.collect()] == [("short", "  06  6 4006 ")]
 
 
 def test_both_feeds_merge_and_replay(spark, tmp_path):

@@ -9,41 +9,33 @@ from pyspark.sql import functions as F
 
 from wakeline.schema import KELLY_CAP, KELLY_DIVISOR, PAYBACK_RATE, TICKET_YEN
 
-#: Up to this many knots the bracket search is a tree of comparisons.
-_TREE_KNOTS = 256
-
-
 def interp(value: Column, xs: Sequence[float], ys: Sequence[float]) -> Column:
-    """Piecewise-linear interpolation through the knots, flat outside them."""
+    """Piecewise-linear interpolation through the knots, flat outside them.
+
+    The bracket is found by binary search, whatever the number of knots.
+    """
     xs, ys = [float(x) for x in xs], [float(y) for y in ys]
     if not xs or len(xs) != len(ys):
         raise ValueError("knots need equally many x and y values")
     if any(b < a for a, b in zip(xs, xs[1:])):
         raise ValueError("x knots must ascend")
 
-    def segment(i: int) -> Column:
-        if xs[i + 1] == xs[i]:
-            return F.lit(ys[i + 1])
-        slope = (ys[i + 1] - ys[i]) / (xs[i + 1] - xs[i])
-        return F.lit(slope) * (value - F.lit(xs[i])) + F.lit(ys[i])
-
-    def search(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            return segment(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < xs[mid], search(lo, mid)).otherwise(search(mid, hi))
-
     if len(xs) == 1:
         inner = F.lit(ys[0])
-    elif len(xs) <= _TREE_KNOTS:
-        inner = search(0, len(xs) - 1)
     else:
-        knots_x = F.array(*[F.lit(x) for x in xs])
-        knots_y = F.array(*[F.lit(y) for y in ys])
-        i = F.least(F.size(F.filter(knots_x, lambda k: k <= value)), F.lit(len(xs) - 1))
-        x0, x1 = F.get(knots_x, i - 1), F.get(knots_x, i)
-        y0, y1 = F.get(knots_y, i - 1), F.get(knots_y, i)
-        inner = F.when(x1 == x0, y1).otherwise(y0 + (value - x0) * F.try_divide(y1 - y0, x1 - x0))
+        knots_x, knots_y = F.lit(xs), F.lit(ys)
+        # binary search for the last knot at or below the value, by halving steps
+        steps = [1 << k for k in reversed(range((len(xs) - 1).bit_length()))]
+        i = F.aggregate(F.lit(steps), F.lit(0), lambda lo, step: F.when(
+            F.get(knots_x, lo + step) <= value, lo + step).otherwise(lo))
+
+        def segment(i: Column) -> Column:
+            x0, x1 = F.get(knots_x, i), F.get(knots_x, i + 1)
+            y0, y1 = F.get(knots_y, i), F.get(knots_y, i + 1)
+            return F.when(x1 == x0, y1).otherwise(F.try_divide(y1 - y0, x1 - x0) * (value - x0) + y0)
+
+        # a one-element list binds the position for the four reads
+        inner = F.get(F.transform(F.array(i), segment), F.lit(0))
     clipped = F.when(value <= xs[0], ys[0]).when(value >= xs[-1], ys[-1]).otherwise(inner)
     return F.when(value.isNotNull() & ~F.isnan(value), clipped).otherwise(value)
 

@@ -26,12 +26,14 @@ def asof_join(
     Both sides are interleaved by time and the last right row is carried forward, a
     prefix that hot keys run through in day and minute chunks. ``strict`` takes
     right rows before the instant only. Of right rows with equal key and instant
-    the one with the largest payload is taken.
+    the one with the largest payload is taken. A NULL instant matches nothing, on
+    either side.
     """
     # right before left at one instant for <=, after it for <
     right_side = 2 if strict else 0
     value = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(payload)])
     # an extremely dense instant is one row per key and instant here
+    right = right.filter(F.col(right_ts).isNotNull())
     events = right.groupBy(*on, F.col(right_ts).alias("_ts")).agg(F.max(value).alias("_v"))
     rows = left.select(
         *left.columns, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side")
@@ -46,5 +48,6 @@ def asof_join(
         timed, on, [family], ["_ts", "_side"], [["_day"], ["_minute"]], hot_rows=hot_rows
     )
     return carried.filter(F.col("_side") == 1).select(
-        *left.columns, *[F.col(f"_last.p{i}").alias(c) for i, c in enumerate(payload)]
+        *left.columns, *[F.when(F.col("_ts").isNotNull(), F.col(f"_last.p{i}")).alias(c)
+          for i, c in enumerate(payload)]
     )

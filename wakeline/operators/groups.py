@@ -9,6 +9,8 @@ are small, e.g. after :func:`complete_groups`, and then uses windows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,12 +21,20 @@ from wakeline.schema import MEMBERS_PER_GROUP, RACE_KEYS
 def with_group(
     df: DataFrame, keys: Sequence[str], stats: dict[str, Column], *, bounded: bool = False
 ) -> DataFrame:
-    """Add aggregates of the row's group. Keys must not be NULL."""
+    """Add aggregates of the row's group. A NULL key is a group of its own."""
     if bounded:
         window = Window.partitionBy(*keys)
         return df.withColumns({n: c.over(window) for n, c in stats.items()})
-    totals = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(totals, list(keys))
+    return with_totals(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
+
+
+def with_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows of ``totals``, unique by key, to their groups, NULL keys included."""
+    names = [c for c in totals.columns if c not in keys]
+    other = totals.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *names)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
+    joined = df.join(other, same, how)
+    return joined if how == "left_semi" else joined.select(*df.columns, *names)
 
 
 def complete_groups(
@@ -41,13 +51,34 @@ def complete_groups(
         .filter((F.col("_n") == size) & (F.col("_wins") == 1))
         .select(*keys)
     )
-    return df.join(good, list(keys), "left_semi")
+    return with_totals(df, good, keys, "left_semi")
 
 
 def is_finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
 
 
+def _softmax_totals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Largest score, shifted sum and size of each group from one use of the rows.
+
+    The sum needs the largest score, which is not known yet. So scores are summed per
+    whole number first, shifted by that number, and the few sums are shifted again.
+    """
+    steps = df.groupBy(*keys, F.floor("_s").alias("_step")).agg(
+        F.max("_s").alias("_top"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.exp(F.col("_s") - F.floor("_s"))).alias("_part"),
+    )
+    groups = steps.groupBy(*keys).agg(
+        F.max("_top").alias("_top"), F.sum("_n").alias("_n"),
+        F.collect_list(F.when(F.col("_step").isNotNull(), F.struct("_step", "_part"))).alias("_parts"),
+    )
+    total = F.aggregate(
+        F.array_sort("_parts"), F.lit(0.0),
+        lambda a, x: a + x["_part"] * F.exp(x["_step"] - F.col("_top")),
+    )
+    return groups.select(*keys, "_top", "_n", total.alias("_total"))
+
+
 def group_softmax(
     df: DataFrame,
     keys: Sequence[str] = RACE_KEYS,
@@ -63,11 +94,14 @@ def group_softmax(
     """
     value = F.col(score).cast("double")
     df = df.withColumn("_s", F.when(is_finite(value), value))
-    df = with_group(df, keys, {"_top": F.max("_s")}, bounded=bounded)
-    df = df.withColumn("_e", F.coalesce(F.exp(F.col("_s") - F.col("_top")), F.lit(0.0)))
-    df = with_group(
-        df, keys, {"_total": F.sum("_e"), "_n": F.count(F.lit(1))}, bounded=bounded
-    )
+    if bounded:
+        df = with_group(df, keys, {"_top": F.max("_s"), "_n": F.count(F.lit(1))}, bounded=True)
+        df = df.withColumn("_e", F.exp(F.col("_s") - F.col("_top")))
+        df = with_group(df, keys, {"_total": F.sum("_e")}, bounded=True)
+    else:
+        df = with_totals(df, _softmax_totals(df, keys), keys)
+        df = df.withColumn("_e", F.exp(F.col("_s") - F.col("_top")))
+    df = df.withColumn("_e", F.coalesce("_e", F.lit(0.0)))
     share = F.when(F.col("_total") > 0, F.col("_e") / F.col("_total")).otherwise(1.0 / F.col("_n"))
     return df.withColumn(out, share).drop("_s", "_top", "_e", "_total", "_n")
 

@@ -25,9 +25,13 @@ def roc_auc(df: DataFrame, p: str, label: str, *, hot_rows: int = HOT_ROWS) -> D
     scores = df.groupBy(F.col(p).cast("double").alias("s")).agg(
         F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
+    def part(scale: int) -> Column:
+        # NaN sorts last, among scores and among parts
+        return F.when(F.isnan("s"), F.lit(2**62)).otherwise(F.floor(F.col("s") * scale))
+
     cut = scores.select(
         "s", "pos", (F.col("n") - F.col("pos")).alias("neg"),
-        F.floor(F.col("s") * 1_000).alias("s3"), F.floor(F.col("s") * 1_000_000).alias("s6"),
+        part(1_000).alias("s3"), part(1_000_000).alias("s6"),
     )
     below = Family((), (Measure("neg_below", F.col("neg")),))
     ranked = running(cut, [], [below], ["s"], [["s3"], ["s6"]], hot_rows=hot_rows)

@@ -18,6 +18,7 @@ from wakeline.operators import metrics
 from wakeline.operators.groups import group_softmax, renormalise_group
 from wakeline.operators.splits import walk_forward_folds, years
 from wakeline.schema import DEPLOYABLE_SETS, RACE_KEYS, feature_columns
+from wakeline.session import staged
 
 GBT_PARAMS = {"maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42,
               "minInstancesPerNode": 200}
@@ -75,8 +76,12 @@ class TrainedModel:
     def predict(
         self, df: DataFrame, *, calibrate: bool = True, bounded: bool = False
     ) -> DataFrame:
-        """Add ``score`` and ``p_win``; probabilities sum to one in each group."""
-        scored = group_softmax(self.score(df), bounded=bounded)
+        """Add ``score`` and ``p_win``; probabilities sum to one in each group.
+
+        Without ``bounded`` the scores are written once, since group totals read them again.
+        """
+        scored = self.score(df) if bounded else staged(self.score(df), "scores")
+        scored = group_softmax(scored, bounded=bounded)
         if calibrate and self.calibrator is not None:
             scored = self.calibrator.apply(scored, bounded=bounded)
         return scored
@@ -181,8 +186,10 @@ def walk_forward(
 ) -> list[dict]:
     """Retrain on everything before year Y-1, stop on Y-1, evaluate on Y.
 
-    The loop runs over usable years; each fit and evaluation is a distributed job.
+    The loop runs over usable years; each fit and evaluation is a distributed job on rows
+    that are written once.
     """
+    df = staged(df, "folds")
     folds = walk_forward_folds(df, first, last, min_past_rows=min_past_rows)
     out = []
     for fold in sorted(folds.collect(), key=lambda r: r["eval_year"]):

@@ -80,25 +80,32 @@ def chunk_depths(
     return depth
 
 
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    """NULL is a key of its own, hence the null-safe comparison."""
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(keys)])
+
+
+def _renamed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)])
+
+
 def _flag_hot(
-    df: DataFrame, keys: Sequence[str], hot: DataFrame, chunk: dict[str, str]
+    df: DataFrame, keys: Sequence[str], hot: DataFrame, flag: str, chunk: dict[str, str]
 ) -> DataFrame:
-    """Add the chunk columns, copied from a level where the key is hot, else NULL."""
-    # NULL is a key of its own, hence the null-safe comparison. The broadcast side
-    # is bounded by rows / hot_rows whatever the data looks like.
-    renamed = hot.select(
-        *[F.col(k).alias(f"_hot_{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot")
-    )
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_hot_{i}")) for i, k in enumerate(keys)])
-    return df.join(F.broadcast(renamed), same, "left").select(
-        *df.columns, *[F.when(F.col("_hot"), F.col(c)).alias(n) for n, c in chunk.items()]
+    """Add ``flag`` (true where the key is hot, else NULL) and there the chunk columns.
+
+    The flag tells a chunk whose value is NULL from rows that are not cut at all.
+    """
+    marked = _renamed(hot, keys, "_hot_").withColumn(flag, F.lit(True))
+    return df.join(marked, _same(keys, "_hot_"), "left").select(
+        *df.columns, flag, *[F.when(F.col(flag), F.col(c)).alias(n) for n, c in chunk.items()]
     )
 
 
 def _chunker(
     source: DataFrame, anchor: Sequence[str], levels: Sequence[Sequence[str]], hot_rows: int
 ) -> tuple[Callable[[DataFrame], DataFrame], list[list[str]]]:
-    """Return a function adding chunk columns, and the chunk columns per level.
+    """Return a function adding flags and chunk columns, and these per level.
 
     Level 0 applies to hot anchors, level i+1 only inside hot chunks of level i.
     """
@@ -107,22 +114,24 @@ def _chunker(
     keys = list(anchor)
     frame = source
     for depth, level in enumerate(levels):
-        chunk = {f"_chunk{depth}_{c}": c for c in level}
+        flag, chunk = f"_cut{depth}", {f"_chunk{depth}_{c}": c for c in level}
         if keys:
             hot = hot_keys(frame, keys, hot_rows)
 
-            def step(df, keys=tuple(keys), hot=hot, chunk=chunk):
-                return _flag_hot(df, keys, hot, chunk)
+            def step(df, keys=tuple(keys), hot=hot, flag=flag, chunk=chunk):
+                return _flag_hot(df, keys, hot, flag, chunk)
         else:
 
-            def step(df, chunk=chunk):
-                return df.withColumns({n: F.col(c) for n, c in chunk.items()})
+            def step(df, flag=flag, chunk=chunk):
+                return df.withColumns(
+                    {flag: F.lit(True), **{n: F.col(c) for n, c in chunk.items()}}
+                )
 
         steps.append(step)
-        chunk_levels.append(list(chunk))
-        keys += chunk
+        chunk_levels.append([flag, *chunk])
+        keys += chunk_levels[depth]
         if depth + 1 < len(levels):
-            frame = step(frame).filter(F.col(chunk_levels[depth][0]).isNotNull())
+            frame = step(frame).filter(F.col(flag))
     return (lambda df: reduce(lambda acc, s: s(acc), steps, df)), chunk_levels
 
 
@@ -216,7 +225,8 @@ def running(
     def window(keys, head):
         spec = Window.partitionBy(*keys)
         if instant:
-            at = F.unix_micros(F.col(instant).cast("timestamp"))
+            # a missing instant comes before all others; no row is before itself
+            at = F.coalesce(F.unix_micros(F.col(instant).cast("timestamp")), F.lit(-(2**61)))
             if head:
                 at = F.when(F.col(_ROW) == 1, at).otherwise(F.lit(-(2**62)))
             return spec.orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
@@ -239,7 +249,7 @@ def running(
     for f in families:
         group = [*anchor, *f.extra]
         valued = source.withColumns({m.name: m.value for m in f.measures})
-        hot = chunk(valued).filter(F.col(flat[0]).isNotNull())
+        hot = chunk(valued).filter(F.col(flat[0]))
         totals = _totals(hot, [*group, *flat], f.measures, order)
         carry = scan_chunks(totals, group, chunk_levels, f.measures)
         rows = rows.unionByName(carry.withColumn(_ROW, F.lit(0)), allowMissingColumns=True)
@@ -307,9 +317,9 @@ def ordinals(
                 for name, (order, _) in numbered.items()
             }
         )
-    hot = hot_keys(df, group, hot_rows)
-    cold_rows = df.join(F.broadcast(hot), list(group), "left_anti")
-    hot_rows_df = df.join(F.broadcast(hot), list(group), "left_semi")
+    hot = _renamed(hot_keys(df, group, hot_rows), group, "_hot_")
+    cold_rows = df.join(hot, _same(group, "_hot_"), "left_anti")
+    hot_rows_df = df.join(hot, _same(group, "_hot_"), "left_semi")
     cold = cold_rows.withColumns(
         {
             name: F.row_number().over(Window.partitionBy(*group).orderBy(*order))

@@ -320,14 +320,14 @@ def parse_samples(outcomes: DataFrame, kept: int = MAX_SAMPLES_PER_YEAR) -> Data
 
 
 def layout_suspects(outcomes: DataFrame, threshold: float = 0.99) -> DataFrame:
-    """Years with records whose success rate is under the threshold; worst year marked."""
+    """Years with records whose success rate is under the threshold, and the worst year anyway."""
     yearly = _parse_rates(outcomes.groupBy(F.year("day").alias("year")).agg(*_parse_sums()))
     dated = yearly.filter(F.col("records_ok") + F.col("records_failed") > 0)
     # one row per year
     worst = Window.partitionBy(F.lit(0)).orderBy("record_success_rate", "year")
     return (
         dated.withColumn("is_worst", F.row_number().over(worst) == 1)
-        .filter(F.col("record_success_rate") < threshold)
+        .filter((F.col("record_success_rate") < threshold) | F.col("is_worst"))
         .select("year", "record_success_rate", "is_worst")
     )
 

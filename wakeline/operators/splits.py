@@ -22,12 +22,12 @@ def train_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return years(df, *TRAIN_YEARS), years(df, *VALID_YEARS)
 
 
-def hold_out(df: DataFrame, *, i_understand_this_is_final: bool = False) -> DataFrame:
+def hold_out(df: DataFrame, *, final_evaluation: bool = False) -> DataFrame:
     """The years kept for one final evaluation; refused unless asked for by name."""
-    if not i_understand_this_is_final:
+    if not final_evaluation:
         raise RuntimeError(
             "the hold-out years are for the final evaluation only; "
-            "tune on the validation years or pass i_understand_this_is_final=True"
+            "tune on the validation years or pass final_evaluation=True"
         )
     return years(df, *TEST_YEARS)
 

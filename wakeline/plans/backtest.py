@@ -67,7 +67,7 @@ def score_split(
     """Scored complete groups of the validation years or, once, of the hold-out."""
     if split not in ("valid", "test"):
         raise ValueError(f"unknown split {split!r}")
-    rows = hold_out(features, i_understand_this_is_final=final) if split == "test" else years(
+    rows = hold_out(features, final_evaluation=final) if split == "test" else years(
         features, *VALID_YEARS
     )
     return model.predict(complete_groups(rows), bounded=True)

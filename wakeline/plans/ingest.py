@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.operators.merge import keyed_merge, latest_by, two_feed_merge
@@ -24,22 +25,27 @@ class DayTables:
     result_outcomes: DataFrame
 
 
-def _first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key: a feed may repeat a group, and then values are first non-null."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(*[F.first(c, True).alias(c) for c in rest])
+def _one_row(df: DataFrame, keys: list[str], pick: Callable[..., Column]) -> DataFrame:
+    """One row per key where a feed repeats it: per column the first (``F.min_by``) or last
+    (``F.max_by``) value that is not null, in the order of files and lines."""
+    rest = [c for c in df.columns if c not in (*keys, "at")]
+    filled = {c: F.when(F.col(c).isNotNull(), F.col("at")) for c in rest}
+    return df.groupBy(*keys).agg(*[pick(c, at).alias(c) for c, at in filled.items()])
 
 
 def ingest(card_files: DataFrame, result_files: DataFrame) -> DayTables:
-    """Parse and merge. Group columns prefer the card, member columns the result."""
+    """Parse and merge. Group columns prefer the card, member columns the result.
+
+    Of repeated groups the first values count, of repeated members the last.
+    """
     card, result = parse_card_feed(card_files), parse_result_feed(result_files)
     races = two_feed_merge(
-        _first_rows(card.races, RACE_KEYS), _first_rows(result.races, RACE_KEYS), RACE_KEYS,
+        _one_row(card.races, RACE_KEYS, F.min_by), _one_row(result.races, RACE_KEYS, F.min_by), RACE_KEYS,
         card_wins=["title", "distance_m"],
     ).withColumn("fixed_course", F.coalesce("fixed_course", F.lit(False)))
     entries = two_feed_merge(
-        _first_rows(card.entries.filter(F.col("lane").isNotNull()), MEMBER_KEYS),
-        _first_rows(result.entries, MEMBER_KEYS), MEMBER_KEYS,
+        _one_row(card.entries.filter(F.col("lane").isNotNull()), MEMBER_KEYS, F.max_by),
+        _one_row(result.entries, MEMBER_KEYS, F.max_by), MEMBER_KEYS,
         result_wins=["racer_id", "racer_name", "motor_no", "boat_no"],
     )
     return DayTables(

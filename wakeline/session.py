@@ -40,6 +40,13 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def require_feed_charset(spark: SparkSession) -> None:
+    """Parsers of the feeds need two settings; they check them and never change a session."""
+    for key in ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"):
+        if spark.conf.get(key, "false") != "true":
+            raise RuntimeError(f"set {key} to true, or build the session with build_session()")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
