@@ -8,7 +8,9 @@ from bindings.scoring import TICKETS_SQL, scored, tickets
 from bindings.tables import DIVIDENDS_SQL, MEMBERS_SQL, ODDS_SQL, odds, payouts
 from wakeline.functions.numeric import implied_probability, kelly_fraction
 from wakeline.operators import pricing
+from wakeline.operators.triples import wide_groups
 from wakeline.plans import report
+from wakeline.schema import RACE_KEYS
 
 QUERIES = {}
 SQL = {}
@@ -263,6 +265,7 @@ def lines_query(spark, sf):
 SELECT count(*) AS groups_ticketed, count(o.race_no) AS groups_priced, round(count(o.race_no) / count(*), 6) AS coverage
 FROM (SELECT DISTINCT race_no FROM tickets) t LEFT JOIN (SELECT DISTINCT race_no FROM odds) o USING (race_no)""")
 def coverage_query(spark, sf):
-    return pricing.price_coverage(tickets(spark, sf), odds(spark, sf)).select(
+    groups = wide_groups(scored(spark, sf), RACE_KEYS, "lane", "p_win", 6)
+    return pricing.price_coverage(groups, odds(spark, sf)).select(
         "groups_ticketed", "groups_priced", *_r("coverage")
     )

@@ -28,13 +28,12 @@ def with_group(
     return with_totals(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
 
 
-def with_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def with_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join rows of ``totals``, unique by key, to their groups, NULL keys included."""
     names = [c for c in totals.columns if c not in keys]
     other = totals.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *names)
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
-    joined = df.join(other, same, how)
-    return joined if how == "left_semi" else joined.select(*df.columns, *names)
+    return df.join(other, same).select(*df.columns, *names)
 
 
 def complete_groups(
@@ -44,14 +43,18 @@ def complete_groups(
     label: str = "won",
     size: int = MEMBERS_PER_GROUP,
 ) -> DataFrame:
-    """Rows of groups with exactly ``size`` members and exactly one positive label."""
+    """Rows of groups with exactly ``size`` members and exactly one positive label.
+
+    A group whose key holds a NULL has no identity and is not complete. The plain join lets
+    later windows on the keys use its placement.
+    """
     good = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_wins"))
         .filter((F.col("_n") == size) & (F.col("_wins") == 1))
         .select(*keys)
     )
-    return with_totals(df, good, keys, "left_semi")
+    return df.join(good, list(keys), "left_semi")
 
 
 def is_finite(value: Column) -> Column:

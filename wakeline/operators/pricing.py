@@ -71,9 +71,16 @@ def combination_frequencies(dividends: DataFrame) -> DataFrame:
 
 
 def attach_expected_payout(tickets: DataFrame, prices: DataFrame) -> DataFrame:
-    """One price per combination. At most one price row per combination is read."""
-    latest = prices.select("combination", "expected_payout")
-    return tickets.join(latest, "combination", "left").withColumn(
+    """One price per combination, at most one row of each being read.
+
+    Tickets stay where they are: a table of triples of lanes has at most 9 * 8 * 7 rows, so it
+    is sent to them.
+    """
+    latest = (
+        prices.filter(F.col("combination").rlike("^[1-9]-[1-9]-[1-9]$"))
+        .groupBy("combination").agg(F.max("expected_payout").alias("expected_payout"))
+    )
+    return tickets.join(F.broadcast(latest), "combination", "left").withColumn(
         "ev", F.col("p_model") * F.col("expected_payout") / TICKET_YEN
     )
 
@@ -320,7 +327,8 @@ def roi_alert(rollup: DataFrame) -> DataFrame:
 
 
 def price_coverage(tickets: DataFrame, odds: DataFrame) -> DataFrame:
-    """How many ticketed groups have any price."""
+    """How many groups have any price. ``tickets`` may be any rows with the group's keys, so
+    scored members do and nothing has to be exploded."""
     groups = tickets.select(*RACE_KEYS).distinct().withColumn("ticketed", F.lit(1))
     priced = odds.select(*RACE_KEYS).distinct().withColumn("priced", F.lit(1))
     return groups.join(priced, RACE_KEYS, "left").agg(

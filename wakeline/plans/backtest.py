@@ -1,4 +1,4 @@
-"""Threshold back-test: score, explode, price, settle, roll up. One lazy plan."""
+"""Threshold back-test: score, explode, price, settle, roll up."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from wakeline.operators.models import TrainedModel
 from wakeline.operators.splits import hold_out, years
 from wakeline.operators.triples import race_tickets
 from wakeline.schema import DEFAULT_THRESHOLDS, STAKINGS, VALID_YEARS
+from wakeline.session import staged
 
 #: ``odds``: the group's own price; ``prior``: mean dividend of earlier dates;
 #: ``latest``: one price per combination for all time, which sees the period priced.
@@ -56,7 +57,8 @@ def backtest(
     dividends = pricing.load_dividends(payouts)
     priced = price_tickets(race_tickets(scored), dividends, odds, mode)
     settled = pricing.settle_tickets(priced, dividends).filter(F.col("ev").isNotNull())
-    table = pricing.threshold_rollup(settled, thresholds, stakings)
+    # a few rows, written so that the alert does not run the back-test again
+    table = staged(pricing.threshold_rollup(settled, thresholds, stakings), "rollup")
     yearly = pricing.threshold_rollup(settled, (yearly_threshold,), ("flat",), by_year=True)
     return Backtest(settled, table, yearly, pricing.roi_alert(table))
 

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.numeric import implied_probability
 from wakeline.schema import RACE_KEYS, TICKET_KEYS, VENUES
+from wakeline.session import staged
 
 PICKS_SHOWN = 80
 FAVOURITES_SHOWN = 10
 
 
 def top_picks(priced: DataFrame, threshold: float, shown: int = PICKS_SHOWN) -> DataFrame:
-    """The best ``shown`` tickets by expected value, and the count of all picks."""
-    picks = priced.filter(F.col("ev") >= threshold)
+    """The best ``shown`` tickets by expected value, and the count of all picks.
+
+    The picks are written once, so tickets are exploded and priced once.
+    """
+    picks = staged(priced.filter(F.col("ev") >= threshold), "picks")
     best = picks.orderBy(F.desc("ev"), *TICKET_KEYS).limit(shown)
     # at most ``shown`` rows from here on
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("ev"), *TICKET_KEYS))
