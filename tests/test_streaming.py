@@ -30,6 +30,24 @@ def test_price_stream_equals_batch(spark, tmp_path):
     assert as_set(batch, "race_no", "odds") == {(1, 9.0), (2, 2.0), (3, 3.0)}
 
 
+def test_untouched_partitions_keep_their_files(spark, tmp_path):
+    source, out, mark = tmp_path / "in", tmp_path / "out", str(tmp_path / "mark")
+    source.mkdir()
+
+    def day(n, d, price):
+        return json.dumps({"k": str(n), "d": f"2024-05-0{d}", "j": 1, "r": n, "o": {"1-2-3": price}})
+
+    def versions(d):
+        return sorted(p.name for p in (out / f"_part=2024-05-0{d}").iterdir())
+
+    for i, texts in enumerate([[day(1, 1, 1.0), day(1, 2, 2.0)], [day(2, 2, 3.0)], [day(3, 2, 4.0)], [day(1, 2, 5.0)]]):
+        (source / f"{i}.jsonl").write_text("\n".join(texts))
+        price_log_stream(spark, str(source), str(out), mark).awaitTermination()
+    assert versions(1) == ["_v=0"] and versions(2) == ["_v=2", "_v=3"]
+    assert as_set(read_snapshot(spark, str(out)), "race_no", "odds") == {(1, 1.0), (1, 5.0), (2, 3.0), (3, 4.0)}
+    assert as_set(read_snapshot(spark, str(out), before=3), "race_no", "odds") == {(1, 1.0), (1, 2.0), (2, 3.0), (3, 4.0)}
+
+
 DDL = "k INT, title STRING, wind INT, has_b BOOLEAN, has_k BOOLEAN, seq BIGINT"
 
 

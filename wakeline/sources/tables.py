@@ -51,12 +51,12 @@ def conform(df: DataFrame, schema: str) -> DataFrame:
 def write_by_year(df: DataFrame, path: str, day: str = "race_date") -> None:
     """Replace the years present in ``df``, keep the others.
 
-    Rows of one year and month meet in the same tasks, so a year does not become
-    thousands of small files and a hot year is still written by many tasks.
+    Rows are gathered by year, and adaptive execution splits a year by its size, so a year
+    becomes neither thousands of small files nor the work of one task.
     """
     (
         df.withColumn("year", F.year(day))
-        .repartition("year", F.month(day))
+        .hint("rebalance", "year")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("year")
