@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bindings.history import PREPARED_SQL
 from bindings.tables import DIVIDENDS_SQL, MEMBERS_SQL, members, payouts, read
 from wakeline.functions.text import race_key_text
-from wakeline.operators import merge, quality
+from wakeline.operators import merge, quality, rules
 from wakeline.operators.asof import asof_join
 from wakeline.operators.history import Rate, shrunk_rates
 from wakeline.operators.pricing import load_dividends
@@ -19,6 +19,9 @@ from wakeline.schema import GRADES, RACE_KEYS
 QUERIES = {}
 SQL = {}
 
+#: The dividends without the members they start from.
+DIVIDENDS_ONLY_SQL = DIVIDENDS_SQL.removeprefix(MEMBERS_SQL + ",\n").lstrip(",\n")
+
 
 def query(name, sql=None):
     def register(fn):
@@ -505,6 +508,38 @@ def validation_suite(spark, sf):
     return quality.validation_suite(checks, hard=("groups not of six", "repeated members"))
 
 
+_ROW_RULES = {**{n: r for t in ("venues", "races", "entries") for n, r in rules.ROW_RULES[t].items()},
+              **{n: r for n, r in rules.PLAUSIBLE.items() if n != "race_time"}}
+
+
+@query("row_rules", f"WITH {MEMBERS_SQL}\n" + "\nUNION ALL ".join(
+    f"SELECT '{n}' AS rule, count(*) FILTER (WHERE NOT ({r})) AS violations, count(*) AS rows FROM members" for n, r in _ROW_RULES.items()))
+def row_rules(spark, sf):
+    """The library's rules and bands; numbers of races here go far beyond 12."""
+    return rules.check_rows(members(spark, sf), _ROW_RULES)
+
+
+@query("validations", f"""WITH {MEMBERS_SQL}, {DIVIDENDS_ONLY_SQL},
+g AS (SELECT o_orderkey AS race_no, c_nationkey AS venue, year(o_orderdate) AS y, o_orderstatus <> 'P' AS has_k
+      FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT 'races' AS "check", count(*) AS metric, false AS hard, true AS passed FROM g
+UNION ALL SELECT 'entries', count(*), false, true FROM members
+UNION ALL SELECT 'groups not of six', count(*), true, count(*) = 0
+FROM (SELECT g.race_no FROM g LEFT JOIN lineitem ON l_orderkey = g.race_no GROUP BY 1 HAVING count(l_orderkey) <> 6)
+UNION ALL SELECT 'no course', count(*), false, true FROM members WHERE course IS NULL
+UNION ALL SELECT 'course is not lane', count(*), false, true FROM members WHERE course <> lane
+UNION ALL SELECT 'results without trifecta', count(*), true, count(*) = 0
+FROM g WHERE has_k AND race_no NOT IN (SELECT race_no FROM dividends)
+UNION ALL SELECT 'venues', count(DISTINCT venue), false, true FROM g
+UNION ALL SELECT 'payout types', count(DISTINCT bet_type), false, true FROM payouts
+UNION ALL SELECT 'summary years', count(DISTINCT y), false, true FROM g
+UNION ALL SELECT 'course 1 years', count(DISTINCT year(race_date)), false, true FROM members WHERE finish_position = 1 AND course IS NOT NULL""")
+def validations(spark, sf):
+    groups = read(spark, sf, "orders").select(F.col("o_orderkey").alias("race_no"), (F.col("o_orderstatus") != "P").alias("has_k"))
+    races = _groups(spark, sf).join(groups, "race_no")
+    return rules.validations(races, members(spark, sf), payouts(spark, sf))
+
+
 _OUTCOMES_SQL = """o AS (SELECT o_orderkey AS source, CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day,
   CASE WHEN o_orderkey % 97 = 0 THEN 0 WHEN o_orderstatus = 'P' AND year(o_orderdate) = 1997 THEN 7 ELSE 10 END AS records_ok,
   CASE WHEN o_orderkey % 97 = 0 THEN 0 WHEN o_orderstatus = 'P' AND year(o_orderdate) = 1997 THEN 3 ELSE 0 END AS records_failed,

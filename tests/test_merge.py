@@ -109,3 +109,12 @@ def test_row_rules(rows):
     steps = quality.decreasing_steps(
         rows("g INT, i INT, v INT, b INT", (1, 1, 5, 0), (1, 2, None, 0), (1, 3, 4, 1), (1, 4, 4, 1)), ["g"], "i", "v", [["b"]], hot_rows=1)
     assert as_set(steps, "i") == {(3,)}
+
+
+def test_type_counts(rows):
+    from wakeline.operators import rules
+
+    paid = rows("race_date DATE, stadium_id INT, race_no INT, bet_type STRING",
+                *[(None, 1, n, t) for n, types in ((1, "wwwp"), (2, "wwpp"), (3, "wwwppp")) for t in
+                  ({"w": "wide", "p": "place"}[c] for c in types)])
+    assert as_set(rules.type_counts(paid), "race_no", "bet_type", "rows") == {(2, "wide", 2), (3, "place", 3)}

@@ -149,16 +149,17 @@ def strip_bet_label(line: Column) -> Column:
 
 
 def payout_entries(line: Column) -> Column:
-    """All ``combination yen [popularity]`` matches as an array of structs."""
-    found = [F.regexp_extract_all(line, F.lit(PAYOUT_ENTRY), F.lit(i)) for i in (1, 2, 3)]
-    return F.transform(
-        F.arrays_zip(*[a.alias(n) for a, n in zip(found, ("combo", "yen", "popularity"))]),
-        lambda e: F.struct(
-            e["combo"].alias("combo"),
-            e["yen"].try_cast("int").alias("yen"),
-            e["popularity"].try_cast("int").alias("popularity"),
-        ),
-    )
+    """All ``combination yen [popularity]`` matches as an array of structs.
+
+    The line is searched once; the short matches are split at their blanks.
+    """
+    whole = F.regexp_extract_all(line, F.lit(PAYOUT_ENTRY), F.lit(0))
+    parts = F.transform(whole, lambda e: F.split(F.regexp_replace(e, "人気", " "), r"\s+"))
+    return F.transform(parts, lambda p: F.struct(
+        F.get(p, F.lit(0)).alias("combo"),
+        F.get(p, F.lit(1)).try_cast("int").alias("yen"),
+        F.get(p, F.lit(2)).try_cast("int").alias("popularity"),
+    ))
 
 
 def venue_name(text: Column) -> Column:
