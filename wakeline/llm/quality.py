@@ -82,7 +82,7 @@ class Text:
 RULES: dict[str, Callable[[Text], bool]] = {
     "symbols": lambda t: 10 * t.n_symbols > t.n_words,
     "word_length": lambda t: not 2 * t.n_words <= t.word_chars <= 12 * t.n_words,
-    "repeated_lines": lambda t: 10 * t.n_dup_lines > 3 * len(t.lines),
+    "repeated_lines": lambda t: 2 * t.n_dup_lines > len(t.lines),
     "shouting": lambda t: 2 * t.count_of(_UPPER) > t.count_of(_LETTERS),
     "exclamations": lambda t: 5 * sum(w.endswith(b"!") for w in t.words) > t.n_words,
     "letterless": lambda t: 5 * sum(not _LETTER.search(w) for w in t.words) > t.n_words,
@@ -114,7 +114,7 @@ WITH base AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
          10 * n_symbols > n_words
          OR NOT word_chars BETWEEN 2 * n_words AND 12 * n_words
-         OR 10 * n_dup_lines > 3 * len(lines)
+         OR 2 * n_dup_lines > len(lines)
          OR 2 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]', '', 'g'))
          OR 5 * len(list_filter(words, lambda x: x LIKE '%!')) > n_words
          OR 5 * len(list_filter(words, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) > n_words AS rejected
