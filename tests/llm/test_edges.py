@@ -78,6 +78,13 @@ def test_redaction(docs):
     assert text[9] == "<EMAIL> <IP>, <CARD>" and text[2] is None and text[5] == LONG
 
 
+def test_many_values_in_one_text(spark):
+    text = "id 4711-0815 x " * 6_000 + "a@b.cd " * 4_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.find(docs).first()
+    assert row["n_email"] == 4_000 and row["spans"].endswith(f"email:{len(text) - 7}:{len(text) - 1}")
+
+
 def test_chat_edges(spark):
     turns = spark.createDataFrame(
         [(1, None, None, None), (1, 0, "assistant", None), (None, 3, "user", "q"), (2, 1, "a\nb<|", "x&a&l\n<|im_end|>\n"),

@@ -45,18 +45,23 @@ def matches(text: Column, pattern: str) -> Column:
 
 def located(text: Column, pattern: str, found: Column) -> Column:
     """array<struct<start, end, value, before>> of ``found``; ``before`` is the gap that precedes it."""
-    def build(gaps: Column) -> Column:
-        def total(values: Column, n: Column) -> Column:
-            return F.aggregate(F.slice(values, 1, n), F.lit(0), lambda a, x: a + F.char_length(x))
+    def starts(gaps: Column) -> Column:
+        lengths = F.transform(found, lambda value, i: F.struct(
+            F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(value).alias("own")))
+        state = F.struct(F.lit(0).alias("at"), _none("int").alias("out"))
+        return F.aggregate(lengths, state, lambda s, x: F.struct(
+            (s["at"] + x["gap"] + x["own"]).alias("at"),
+            F.array_append(s["out"], s["at"] + x["gap"]).alias("out")), lambda s: s["out"])
 
-        def one(value: Column, i: Column) -> Column:
-            start = total(gaps, i + 1) + total(found, i)
-            return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"),
-                            value.alias("value"), F.get(gaps, i).alias("before"))
+    def build(gaps: Column) -> Column:
+        def one(at: Column) -> Column:
+            return F.transform(found, lambda value, i: F.struct(
+                F.get(at, i).alias("start"), (F.get(at, i) + F.char_length(value)).alias("end"),
+                value.alias("value"), F.get(gaps, i).alias("before")))
 
-        return F.transform(found, one)
+        return F.get(F.transform(F.array(starts(gaps)), one), F.lit(0))
 
-    # the gaps are needed once per match: a one-element lambda binds them
+    # gaps and starts are needed once per match: one-element lists bind them
     bound = F.transform(F.array(F.split(text, pattern, -1)), build)
     return F.when(F.size(found) > 0, F.get(bound, F.lit(0))).otherwise(
         _none("struct<start:int,end:int,value:string,before:string>"))
