@@ -226,6 +226,18 @@ def test_contexts_find_unlisted_values(spark):
     assert got[80] == "context:14:30" and got[51] == ""
 
 
+def test_contexts_before_whole_values(spark):
+    """Seeds of several pieces or without digits teach their contexts; so are unseen values taken whole."""
+    rows = [(i, f"thing {i} please call the office: +1 ({300 + i}) 555-{1000 + i} today") for i in range(12)]
+    rows += [(50, "so please call the office: +1 (7x) 555-0000 today"), (51, "an account number: 4512-XK-9981 here")]
+    rows += [(60 + i, f"so write to our desk: {name}@mail.example or wait") for i, name in enumerate(("ann", "bob", "cy", "di", "ed", "flo", "gus"))]
+    rows += [(80, "or write to our desk: jane@localhost now"), (81, "we walked to our desk: slowly and well-known")]
+    rows += [(82, "so please call the office: 5550001 10.0.0.1 today")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50] == "context:27:43" and got[51] == "" and got[80] == "context:22:36" and got[81] == ""
+    assert got[82] == "ip:35:43,context:27:34"
+
+
 def test_toxicity_on_held_out(spark):
     got = bindings.op9_toxicity(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")

@@ -1,10 +1,10 @@
 """Personal data: fixed kinds by pattern, further identifiers by bootstrapped contexts.
 
-Only DataFrame and SQL functions are used. Entities of the fixed kinds are seeds. The words
-before an identifier-like value, with the value's shape, form a lexical pattern; patterns and
-values make a bipartite graph. Scores go back and forth over it: a pattern is as good as the
-mean of its values, a value is as good as its best pattern. Patterns that stay confident mark
-values nobody listed.
+Only DataFrame and SQL functions are used. Entities of the fixed kinds are seeds, as whole spans.
+The two words before a seed or before another identifier-like value, with the value's rough shape,
+form a lexical pattern; patterns and values make a bipartite graph. Scores go back and forth over
+it: a pattern is as good as the mean of its values, a value is as good as its best pattern.
+Patterns that stay confident mark values nobody listed.
 """
 
 from __future__ import annotations
@@ -25,9 +25,19 @@ KINDS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 _OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?!$)|$)){4}$"
-#: Values that may be identifiers: a run with a digit, and runs tied to it.
-CANDIDATE = r"(?<![A-Za-z0-9])[A-Za-z]*+[0-9][A-Za-z0-9]*+(?:[._@%+:/-][A-Za-z0-9]++)*+"
+#: Values that may be identifiers: runs of letters and digits with a digit or tied to another run,
+#: and several runs with digits that single spaces, hyphens or brackets hold together.
+_TIE = "[._@%+:/-]{1,3}+"
+_RUN = rf"[\p{{L}}0-9]++(?:{_TIE}[\p{{L}}0-9]++)*+"
+_NUMBER = rf"(?=[\p{{L}}._@%+:/-]*+[0-9]){_RUN}"
+_TIED = rf"(?=\p{{L}}*+(?:[0-9]|{_TIE}[\p{{L}}0-9])){_RUN}"
+_BEGIN = r"(?<![\p{L}0-9])\+?+\(?+"
+CANDIDATE = rf"{_BEGIN}{_TIED}"
+SPACED = rf"{_BEGIN}(?:{_NUMBER}(?:(?:\)?+[ -]\(?+|[()]){_NUMBER})*+|{_TIED})"
+#: Characters a value needs, and digits if nothing ties letters to another run.
 MIN_CHARS, MIN_DIGITS = 6, 3
+#: Characters before a value in which its two words are looked for.
+CONTEXT_CHARS = 64
 #: The kind of values found by their contexts.
 FOUND = "context"
 #: Rounds of scoring, distinct values a pattern needs, and the score from which it is trusted.
@@ -67,6 +77,49 @@ def located(text: Column, pattern: str, found: Column) -> Column:
         _none("struct<start:int,end:int,value:string,before:string>"))
 
 
+def _in_context(spans: Column) -> Column:
+    """``spans`` of located(), with the text before the span's own start as ``before``.
+
+    Contexts reach over earlier matches. A match has a character at least, so CONTEXT_CHARS
+    matches back are enough, and the time is linear.
+    """
+    n = CONTEXT_CHARS
+    ends = F.transform(spans, lambda s: F.right(F.concat(s["before"], s["value"]), F.lit(n)))
+
+    def build(ends: Column) -> Column:
+        return F.transform(spans, lambda s, i: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
+            F.right(F.concat(F.array_join(F.slice(ends, F.greatest(i - n, F.lit(0)) + 1, F.least(i, F.lit(n))), ""), s["before"]),
+                    F.lit(n)).alias("before")))
+
+    return F.when(F.size(spans) > 0, F.get(F.transform(F.array(ends), build), F.lit(0))).otherwise(
+        _none("struct<start:int,end:int,value:string,before:string>"))
+
+
+def _clear(spans: Column, others: Column) -> Column:
+    """The ``spans`` (by start, apart from each other) that meet none of ``others``, in one pass each way."""
+    def at(kind: int):
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"))
+
+    def passed(events: Column, first: int, reach, hit) -> Column:
+        state = F.struct(F.lit(first).alias("reach"), F.lit("").alias("out"))
+        return F.aggregate(events, state, lambda t, e: F.struct(
+            F.when(e["kind"] == 0, reach(t["reach"], e)).otherwise(t["reach"]).alias("reach"),
+            F.when(e["kind"] == 0, t["out"]).otherwise(F.concat(t["out"], hit(t["reach"], e).cast("int").cast("string"))).alias("out")),
+            lambda t: t["out"])
+
+    def pick(events: Column) -> Column:
+        left = passed(events, 0, lambda r, e: F.greatest(r, e["end"]), lambda r, e: r > e["start"])
+        right = F.reverse(passed(F.reverse(events), (1 << 31) - 1, lambda r, e: F.least(r, e["start"]), lambda r, e: r < e["end"]))
+        flags = F.array(F.struct(F.split(left, "").alias("left"), F.split(right, "").alias("right")))
+        return F.get(F.transform(flags, lambda f: F.filter(
+            spans, lambda s, i: (F.get(f["left"], i) == "0") & (F.get(f["right"], i) == "0"))), F.lit(0))
+
+    events = F.sort_array(F.concat(F.transform(others, at(0)), F.transform(spans, at(1))))
+    some = F.get(F.transform(F.array(events), pick), F.lit(0))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), some).otherwise(spans)
+
+
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -85,10 +138,15 @@ def _valid(kind: str, value: Column) -> Column:
 
 def _checked(text: Column, kind: str) -> Column:
     found = F.col(f"_wk_{kind}")
-    some = F.when(F.exists(found, lambda v: _valid(kind, v)), located(text, KINDS[kind], found)).otherwise(
+    return F.when(F.exists(found, lambda v: _valid(kind, v)), located(text, KINDS[kind], found)).otherwise(
         _none("struct<start:int,end:int,value:string,before:string>"))
-    return F.transform(F.filter(some, lambda s: _valid(kind, s["value"])), lambda s: F.struct(
-        F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+
+def _valid_spans(kind: str) -> Column:
+    spans = _in_context(F.col(f"_wk_{kind}"))
+    return F.transform(F.filter(spans, lambda s: _valid(kind, s["value"])), lambda s: F.struct(
+        F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
+        s["before"].alias("before")))
 
 
 def _count(spans: Column, kind: str) -> Column:
@@ -96,7 +154,7 @@ def _count(spans: Column, kind: str) -> Column:
 
 
 def base_spans(docs: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
-    """Add ``out``: array<struct<kind, start, end, value>>, kinds in order, then by start."""
+    """Add ``out``: array<struct<kind, start, end, value, before>>, kinds in order, then by start."""
     column = F.col(text)
     may = {"email": F.contains(column, F.lit("@")), "phone": F.contains(column, F.lit("+")),
            "ip": column.rlike(r"[0-9]\.[0-9]"), "card": column.rlike("[0-9]")}
@@ -104,34 +162,52 @@ def base_spans(docs: DataFrame, text: str = "text", out: str = "base") -> DataFr
                            for k, p in KINDS.items()})
     # most candidates fail their check: look at positions only where one holds
     df = df.withColumns({f"_wk_{k}": _checked(column, k) for k in KINDS})
+    df = df.withColumns({f"_wk_{k}": _valid_spans(k) for k in KINDS})
     return df.withColumn(out, F.concat(*[F.col(f"_wk_{k}") for k in KINDS])).drop(*[f"_wk_{k}" for k in KINDS])
 
 
 def candidates(docs: DataFrame, text: str = "text", base: str = "base", out: str = "cands") -> DataFrame:
-    """Add ``out``: identifier-like values with their pattern, and whether they are seeds.
+    """Add ``out``: seeds (the spans of ``base``) and other identifier-like values, with their patterns.
 
-    A pattern is the two pieces of text before the value, in lower case, and the value's shape.
+    A pattern is the two words of text before the value (one at the start of a text), in lower case
+    and without the numbers' digits, and whether digits or letters prevail in the value. Where a
+    spaced value would run into a seed, its parts are taken one by one.
     """
     column = F.col(text)
+    wide, narrow = F.col("_wk_wide"), F.col("_wk_narrow")
 
-    def overlap(s: Column) -> Column:
-        return F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    def letters(value: Column) -> Column:
+        return F.regexp_replace(value, r"\P{L}", "")
 
-    def shape(value: Column) -> Column:
-        classes = F.regexp_replace(F.regexp_replace(value, "[A-Za-z]*[0-9][A-Za-z0-9]*", "9"), "[A-Za-z]+", "a")
-        return F.concat_ws("/", classes, F.length(value).cast("string"))
+    def fits(s: Column) -> Column:
+        tied = s["value"].rlike(rf"\p{{L}}{_TIE}[\p{{L}}0-9]")
+        return (F.length(s["value"]) >= MIN_CHARS) & (tied | (F.length(_digits(s["value"])) >= MIN_DIGITS))
 
-    def describe(s: Column) -> Column:
-        left = F.regexp_extract(F.lower(F.right(s["before"], F.lit(64))), r"([^\s]+\s+[^\s]*\s*)$", 1)
+    def describe(s: Column, seed: bool) -> Column:
+        left = F.regexp_extract(F.lower(s["before"]), r"((?:\S+\s+)?\S+\s*)$", 1)
+        left = F.regexp_replace(F.regexp_replace(left, r"\s+", " "), "[0-9]+", "0")
+        shape = F.when(F.length(_digits(s["value"])) >= F.length(letters(s["value"])), "9").otherwise("a")
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"),
-                        F.concat(left, F.lit("\u0001"), shape(s["value"])).alias("pattern"),
-                        (left != "").alias("placed"), overlap(s).alias("seed"))
-
-    found = F.when(column.rlike("[0-9]"), matches(column, CANDIDATE)).otherwise(_none("string"))
-    df = docs.withColumn("_wk_found", found)
-    spans = F.filter(located(column, CANDIDATE, F.col("_wk_found")),
-                     lambda s: (F.length(s["value"]) >= MIN_CHARS) & (F.length(_digits(s["value"])) >= MIN_DIGITS))
-    return df.withColumn(out, F.filter(F.transform(spans, describe), lambda c: c["placed"])).drop("_wk_found")
+                        F.concat(left, F.lit("\u0001"), shape).alias("pattern"),
+                        (left != "").alias("placed"), F.lit(seed).alias("seed"))
+
+    def ends(*spans: Column) -> Column:
+        return F.concat(*[F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for c in spans])
+
+    df = docs.withColumn("_wk_wide", matches(column, SPACED))
+    df = df.withColumn("_wk_wide", located(column, SPACED, wide))
+    # contexts reach over matches that are left out, so they are taken first
+    df = df.withColumn("_wk_wide", _in_context(wide))
+    df = df.withColumn("_wk_free", _clear(wide, F.col(base)))
+    cut = F.size("_wk_free") < F.size(wide)
+    df = df.withColumn("_wk_narrow", F.when(cut, matches(column, CANDIDATE)).otherwise(_none("string")))
+    df = df.withColumn("_wk_narrow", located(column, CANDIDATE, narrow))
+    df = df.withColumn("_wk_narrow", _in_context(narrow))
+    df = df.withColumn("_wk_narrow", _clear(narrow, ends(F.col(base), F.col("_wk_free"))))
+    unseen = F.filter(F.concat("_wk_free", "_wk_narrow"), fits)
+    described = F.concat(F.transform(F.col(base), lambda s: describe(s, True)), F.transform(unseen, lambda s: describe(s, False)))
+    return (df.withColumn(out, F.filter(described, lambda c: c["placed"]))
+            .drop("_wk_wide", "_wk_free", "_wk_narrow"))
 
 
 def trusted_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -202,9 +278,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     df = docs.withColumn("_wk_text", text_or_empty(text))
     df = candidates(base_spans(df, "_wk_text", "_wk_base"), "_wk_text", "_wk_base", "_wk_cands")
     key = "_wk_key"
-    df = df.withColumn(key, F.md5("_wk_text"))
+    df = staged(df.withColumn(key, F.md5("_wk_text")), "located")
     doubtful = F.exists("_wk_cands", lambda c: ~c["seed"])
-    tagged = staged(df.filter(F.size("_wk_cands") > 0).select(F.col(key).alias("text_key"), F.col("_wk_cands").alias("cands")), "tagged")
+    tagged = df.select(F.col(key).alias("text_key"), F.col("_wk_cands").alias("cands"))
     added = discovered(tagged).select(F.col("text_key").alias(key), F.col("added").alias("_wk_added"))
     plain = F.transform("_wk_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     none = _none("struct<kind:string,start:int,end:int>")
