@@ -256,6 +256,12 @@ def test_swapped_groups_score_alike():
     assert abs(plain - model.score("christians ab cd")) < 0.1 and plain < 0.5 and model.score("you idiot") > 0.5
 
 
+def test_late_words_of_long_texts_are_learned():
+    many = " ".join(f"a{i}" for i in range(5_000))
+    model = toxicity.fit([many] * 30 + [f"{many} zzidiot дурак"] * 30, [0] * 30 + [1] * 30)
+    assert model.weights["zzidiot"] > 0 and model.weights["дурак"] > 0
+
+
 def test_recall_of_neighbours(spark):
     sf = "/root/testdata/sf0.1"
     got = {}

@@ -22,8 +22,6 @@ from wakeline.llm.common import map_rows, text_or_empty
 
 #: Labelled texts the model is fitted on at most; the ones with the smallest hashes are taken.
 MAX_TRAIN_ROWS = 6_000
-#: Distinct words kept of one training text at most (scoring reads all words).
-MAX_TRAIN_WORDS = 4_000
 #: Features the model may hold, so that its size does not follow the data.
 MAX_FEATURES = 4_000
 #: Word beginnings that are features, in characters.
@@ -96,19 +94,15 @@ def fit(texts: list[str], labels: list[int], identities=IDENTITIES) -> Model:
     bias = float(np.log(share / (1 - share)))
     if len(set(labels)) < 2:
         return Model({}, bias)
-    def known_words(text: str) -> set[str]:
-        found = words(text)
-        return found if len(found) <= MAX_TRAIN_WORDS else set(sorted(found)[:MAX_TRAIN_WORDS])
-
     names = {f for group in identities for f in group}
     toxic_with: Counter = Counter()
     for text, label in zip(texts, labels):
         if label:
-            toxic_with.update(features(known_words(text)))
+            toxic_with.update(features(words(text)))
     toxic_with = Counter({f: k for f, k in toxic_with.items() if k > 1})
     texts_with, naming = Counter(toxic_with), []
     for text, label in zip(texts, labels):
-        found = known_words(text)
+        found = words(text)
         if not names.isdisjoint(found):
             naming.append(found)
         if not label:
@@ -128,7 +122,7 @@ def fit(texts: list[str], labels: list[int], identities=IDENTITIES) -> Model:
     def numbered(found: set[str]) -> list[int]:
         return [number[f] for f in found if f in number]
 
-    row, col = _matrix([numbered(features(known_words(t))) for t in texts])
+    row, col = _matrix([numbered(features(words(t))) for t in texts])
     pairs = counterfactuals(naming, identities)
     sides = []
     for a, b in pairs:
