@@ -7,7 +7,8 @@ import uuid
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wakeline.llm import bpe, chat, counting, minhash, neighbours, packing, pii, quality, toxicity, warc
+from wakeline.llm import (audit, bpe, chat, counting, minhash, neighbours, packing, pii, pivots, quality, repair,
+                          toxicity, warc)
 from wakeline.llm.common import read, text_or_empty
 from wakeline.session import shared_dir, staged
 
@@ -77,6 +78,23 @@ def op10_pii(spark, sf_dir):
     return pii.find(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_exact_topk(spark, sf_dir):
+    """The 20 largest integer inner products of every vector whose id is divisible by 20."""
+    vectors = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return pivots.search(vectors, F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op12_filter_audit(spark, sf_dir):
+    documents = read(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return audit.audit(documents, read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    """Conversations damaged by checksum, then repaired."""
+    turns = repair.damaged(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return repair.digests(repair.repair(turns))
+
+
 OP7_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -108,11 +126,14 @@ FROM firsts
 
 QUERIES = {f.__name__: f for f in (
     op1_neighbours, op2_token_counts, op3_quality, op4_near_duplicates, op5_bpe_codec,
-    op6_packing, op7_chat, op8_warc, op9_toxicity, op10_pii,
+    op6_packing, op7_chat, op8_warc, op9_toxicity, op10_pii, op11_exact_topk, op12_filter_audit, op13_conversation_repair,
 )}
 
 SQL = {
     "op3_quality": quality.SQL,
     "op7_chat": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op11_exact_topk": pivots.SQL,
+    "op12_filter_audit": audit.SQL,
+    "op13_conversation_repair": repair.SQL,
 }
