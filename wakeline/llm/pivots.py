@@ -71,9 +71,11 @@ def matrix(column: list[bytes], dim: int) -> np.ndarray:
 
 def lifted(x: np.ndarray, largest: float) -> np.ndarray:
     """Vectors with the added coordinate, where ``largest`` is the largest squared length."""
-    return np.column_stack([x, np.sqrt(np.maximum(0.0, largest - (x * x).sum(axis=1)))])
+    with np.errstate(invalid="ignore", over="ignore"):
+        return np.column_stack([x, np.sqrt(np.maximum(0.0, largest - (x * x).sum(axis=1)))])
 
 
+@np.errstate(invalid="ignore", over="ignore")
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T
     return np.sqrt(np.maximum(0.0, square))
