@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings.tables import MEMBERS_SQL, members
-from wakeline.functions.encode import with_encodings
-from wakeline.operators.history import Rate, prior_counts, prior_counts_strict, shrunk_rates
-from wakeline.operators.quality import point_in_time_violations
-from wakeline.plans import features
-from wakeline.plans.daily import features_for_day
-from wakeline.schema import MEMBER_KEYS, feature_columns
+from wakeline.functions.encode import with_encodings, with_labels
+from wakeline.operators import boosting
+from wakeline.operators.history import DEPLOYABLE_RATES, Rate, prior_counts, prior_counts_strict, shrunk_rates
+from wakeline.operators.history_state import HistoryState
+from wakeline.operators.quality import history_differences
+from wakeline.plans import daily, features
+from wakeline.schema import feature_columns
+from wakeline.session import shared_dir
 
 QUERIES = {}
 SQL = {}
@@ -237,34 +245,93 @@ def feature_set_select(spark, sf):
     return chosen.select(*_rounded(chosen.columns))
 
 
-@query("score_latest_day", _feature_sql(
-    "morning", _EARLIER, "WHERE race_date = (SELECT max(CAST(o_orderdate AS DATE)) FROM orders JOIN lineitem ON l_orderkey = o_orderkey)",
-    _MASKED_SQL))
+#: A small ensemble over history rates, as (feature, threshold, missing goes left, then children),
+#: leaves being numbers. Thresholds lie between rounded values.
+CARD_TREES = [
+    ("racer_win_rate", 0.1350005, True, ("stadium_lane_win_rate", 0.1400005, True, -0.625, -0.125), ("lane", 2.0, False, 0.75, 0.25)),
+    ("racer_top2_rate", 0.2800005, True, ("motor_hist_rate", 0.2900005, False, -0.5, 0.125), ("racer_st_rate", 0.0500005, False, 0.5, 0.375)),
+    ("national_win_rate", 4.505, False, ("racer_lane_win_rate", 0.1450005, True, -0.25, 0.0), ("racer_win_n", 30.5, False, 0.0625, 0.3125)),
+]
+
+
+def card_nodes(spark):
+    """The ensemble as a table of nodes."""
+    rows = []
+
+    def add(tree, node, spec):
+        if isinstance(spec, tuple):
+            rows.append((tree, node, *spec[:3], None, None, None))
+            add(tree, 2 * node, spec[3])
+            add(tree, 2 * node + 1, spec[4])
+        else:
+            rows.append((tree, node, None, None, None, spec, None, None))
+
+    for tree, spec in enumerate(CARD_TREES):
+        add(tree, 1, spec)
+    return spark.createDataFrame(rows, boosting.NODES)
+
+
+def _tree_sql(spec) -> str:
+    if not isinstance(spec, tuple):
+        return f"{spec!r}e0"
+    name, threshold, missing_left, left, right = spec
+    return (f"CASE WHEN CASE WHEN {name} IS NULL THEN {str(missing_left).lower()} ELSE {name} < {threshold!r}e0 END "
+            f"THEN {_tree_sql(left)} ELSE {_tree_sql(right)} END")
+
+
+@query("score_latest_day", f"""SELECT * EXCLUDE (margin), round(margin, 9) AS score,
+  round(exp(margin) / sum(exp(margin)) OVER (PARTITION BY race_no), 9) AS p_win
+FROM (SELECT *, {" + ".join(map(_tree_sql, CARD_TREES))} AS margin
+      FROM ({_feature_sql("morning", _EARLIER, "WHERE race_date = (SELECT max(CAST(o_orderdate AS DATE)) FROM orders JOIN lineitem ON l_orderkey = o_orderkey)", _MASKED_SQL)}))""")
 def score_latest_day(spark, sf):
+    """Kept sums up to two days before, one day's advance, then the last day's card alone."""
     table = members(spark, sf)
     day = table.agg(F.max("race_date")).first()[0]
-    card = table.filter(F.col("race_date") == day).drop(
-        "course", "finish_position", "finish_status", "start_timing"
-    )
-    history = table.filter(F.col("race_date") < day)
-    built = features_for_day(history, card, day)
-    chosen = features.select_features(built, "morning", "race_no", "lane")
-    return chosen.select(*_rounded(chosen.columns))
-
-
-@query("leak_proof", """
-SELECT CAST(count(*) AS BIGINT) AS rows_compared, CAST(0 AS BIGINT) AS rows_changed
-FROM lineitem JOIN orders ON o_orderkey = l_orderkey
-WHERE CAST(o_orderdate AS DATE) < (SELECT max(CAST(o_orderdate AS DATE)) FROM orders JOIN lineitem ON l_orderkey = o_orderkey)""")
+    rows, eve = features.prepare(table), day - timedelta(days=1)
+    state = HistoryState(spark, f"{shared_dir(spark)}/state-{uuid.uuid4().hex}", DEPLOYABLE_RATES)
+    state.create(rows, eve - timedelta(days=1))
+    state.advance(rows, eve)
+    scored = daily.score_card(card_nodes(spark), state, table.filter(F.col("race_date") == day), day)
+    chosen = features.select_features(scored, "morning", "race_no", "lane", "score", "p_win")
+    return chosen.withColumns({c: F.round(c, 9) for c in ("score", "p_win")}).select(*_rounded(chosen.columns))
+
+
+def whole_history(rows, rates):
+    """A leak on purpose: each key's mean over all its rows, later ones included."""
+    for r in rates:
+        totals = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(r.group)]).agg(F.avg(r.value).alias(f"{r.name}_rate"))
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(r.group)])
+        rows = rows.join(totals, same, "left").drop(*[f"_k{i}" for i in range(len(r.group))])
+    return rows
+
+
+@query("leak_proof", f"""WITH {PREPARED_SQL},
+last AS (SELECT max(race_date) AS day FROM prepared),
+means AS (
+  SELECT racer_id, avg(won) AS before,
+    avg(CASE WHEN race_date = day THEN CASE WHEN 7 - lane = 1 THEN 1 ELSE 0 END ELSE won END) AS after
+  FROM prepared, last GROUP BY racer_id),
+checked AS (
+  SELECT CAST(count(*) AS BIGINT) AS rows_compared,
+    CAST(count(*) FILTER (round(before, 9) <> round(after, 9)) AS BIGINT) AS leaked
+  FROM prepared JOIN means USING (racer_id), last WHERE race_date < day)
+SELECT 'strict history' AS build, rows_compared, CAST(0 AS BIGINT) AS rows_changed FROM checked
+UNION ALL SELECT 'whole history', rows_compared, leaked FROM checked""")
 def leak_proof(spark, sf):
-    table = members(spark, sf)
+    """Altered outcomes of the last day change no earlier row of the strict build, but do of a leaky one."""
+    table = features.prepare(members(spark, sf))
     day = table.agg(F.max("race_date")).first()[0]
     outcome = {
         "finish_position": (F.lit(7) - F.col("lane")).cast("int"),
         "start_timing": F.lit(0.99),
         "course": F.col("lane"),
     }
-    return point_in_time_violations(
-        lambda df: features.build(df, mode="strict", realised=False),
-        table, MEMBER_KEYS, "race_date", day, outcome, columns=feature_columns("morning"),
-    )
+    builds = {
+        "strict history": (lambda df, rates: shrunk_rates(df, rates, mode="strict"), DEPLOYABLE_RATES),
+        "whole history": (whole_history, DEPLOYABLE_RATES[:1]),
+    }
+    checks = [
+        history_differences(build, table, rates, "race_date", day, outcome, with_labels).withColumn("build", F.lit(name))
+        for name, (build, rates) in builds.items()
+    ]
+    return reduce(DataFrame.unionByName, checks).select("build", "rows_compared", "rows_changed")

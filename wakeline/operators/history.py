@@ -140,42 +140,65 @@ def shrunk_rates(
     if mode not in ("rows", "strict"):
         raise ValueError(f"unknown mode {mode!r}")
     levels = levels or (EVENT_LEVELS if mode == "rows" else INSTANT_LEVELS)
-    values = list(dict.fromkeys(r.value for r in rates))
+    out = prior_sums(df, rates, mode=mode, order=order, levels=levels, hot_rows=hot_rows)
+    return finished(out, df.columns, rates)
+
+
+def families(rates: Sequence[Rate]) -> dict[tuple[str, ...], tuple[str, ...]]:
+    """The values summed per group; the empty group is the overall mean's."""
+    out = {(): tuple(dict.fromkeys(r.value for r in rates))}
+    for group in dict.fromkeys(r.group for r in rates):
+        out[group] = tuple(dict.fromkeys(r.value for r in rates if r.group == group))
+    return out
+
+
+def sum_name(group: Sequence[str], value: str) -> str:
+    """Stem of the columns of a running sum and count: ``{stem}_s`` and ``{stem}_n``."""
+    return f"_{'_'.join(group) or 'all'}_{value}"
+
+
+def prior_sums(
+    df: DataFrame,
+    rates: Sequence[Rate],
+    *,
+    mode: str,
+    order: Sequence[str],
+    levels: Sequence[Sequence[str]],
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add the running sums that the rates are made of; groups of one anchor share a shuffle."""
     anchors = [(), *dict.fromkeys(r.anchor for r in rates)]
+    anchor_of = {(): (), **{r.group: r.anchor for r in rates}}
     depths = chunk_depths(df, anchors, levels, hot_rows)
     out = df
     for anchor in anchors:
-        families = []
-        if not anchor:
-            families.append(Family((), tuple(m for v in values for m in _pair(f"_all_{v}", v))))
-        mine = [r for r in rates if anchor and r.anchor == anchor]
-        for group in dict.fromkeys(r.group for r in mine):
-            wanted = dict.fromkeys(r.value for r in mine if r.group == group)
-            tag = "_".join(group)
-            families.append(
-                Family(
-                    group[len(anchor):],
-                    tuple(m for v in wanted for m in _pair(f"_{tag}_{v}", v)),
-                )
-            )
+        wanted = [
+            Family(group[len(anchor):], tuple(m for v in values for m in _pair(sum_name(group, v), v)))
+            for group, values in families(rates).items()
+            if anchor_of[group] == anchor
+        ]
         if mode == "rows":
-            out = running(out, anchor, families, order, levels, hot_rows=hot_rows,
+            out = running(out, anchor, wanted, order, levels, hot_rows=hot_rows,
                           source=df, depth=depths[anchor])
         else:
-            out = _scan_strict(out, anchor, families, levels, depths[anchor], hot_rows, df)
+            out = _scan_strict(out, anchor, wanted, levels, depths[anchor], hot_rows, df)
+    return out
+
 
+def finished(sums: DataFrame, keep: Sequence[str], rates: Sequence[Rate]) -> DataFrame:
+    """``keep`` and the columns of each rate, from the running sums."""
     columns = []
     for r in rates:
-        tag = "_".join(r.group)
-        total = f"coalesce(CAST(_{tag}_{r.value}_s AS DOUBLE), 0.0D)"
-        n = f"coalesce(_{tag}_{r.value}_n, 0L)"
-        overall = f"try_divide(_all_{r.value}_s, _all_{r.value}_n)"
+        stem, overall = sum_name(r.group, r.value), sum_name((), r.value)
+        total = f"coalesce(CAST({stem}_s AS DOUBLE), 0.0D)"
+        n = f"coalesce({stem}_n, 0L)"
+        mean = f"try_divide({overall}_s, {overall}_n)"
         columns += [
             f"{n} AS {r.name}_n",
-            f"({total} + {r.k}D * {overall}) / ({n} + {r.k}D) AS {r.name}_rate",
+            f"({total} + {r.k}D * {mean}) / ({n} + {r.k}D) AS {r.name}_rate",
             f"CASE WHEN {n} > 0 THEN {total} / {n} END AS {r.name}_raw",
         ]
-    return out.selectExpr(*[f"`{c}`" for c in df.columns], *columns)
+    return sums.selectExpr(*[f"`{c}`" for c in keep], *columns)
 
 
 def expanding_mean(

@@ -9,13 +9,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.functions.numeric import interp
-from wakeline.operators import metrics
+from wakeline.operators import isotonic, metrics
 from wakeline.operators.groups import group_softmax, renormalise_group
+from wakeline.operators.isotonic import interpolated
 from wakeline.operators.splits import walk_forward_folds, years
 from wakeline.schema import DEPLOYABLE_SETS, RACE_KEYS, feature_columns
 from wakeline.session import staged
@@ -26,10 +25,12 @@ GBT_PARAMS = {"maxIter": 60, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate":
 
 @dataclass(frozen=True)
 class Calibrator:
-    """Monotone map from probability to observed frequency, kept as its knots."""
+    """Monotone map from probability to observed frequency, kept as a table of knots (x, y)."""
 
-    x: list[float]
-    y: list[float]
+    knots: DataFrame
+
+    def map(self, df: DataFrame, column: str = "p_win") -> DataFrame:
+        return interpolated(df, column, self.knots)
 
     def apply(
         self,
@@ -39,21 +40,12 @@ class Calibrator:
         *,
         bounded: bool = False,
     ) -> DataFrame:
-        mapped = df.withColumn(column, interp(F.col(column), self.x, self.y))
-        return renormalise_group(mapped, keys, column, bounded=bounded)
+        return renormalise_group(self.map(df, column), keys, column, bounded=bounded)
 
 
 def fit_calibrator(scored: DataFrame, label: str = "won", p: str = "p_win") -> Calibrator:
-    """Isotonic fit on rows the model has not learned from, clipped to [0, 1].
-
-    Equal probabilities are averaged into one weighted row first.
-    """
-    pooled = scored.groupBy(F.col(p).cast("double").alias("x")).agg(
-        F.avg(F.col(label).cast("double")).alias("y"), F.count(F.lit(1)).cast("double").alias("w")
-    )
-    model = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(pooled)
-    clip = [min(max(float(v), 0.0), 1.0) for v in model.predictions]
-    return Calibrator([float(v) for v in model.boundaries], clip)
+    """Isotonic fit on rows the model has not learned from, clipped to [0, 1]."""
+    return Calibrator(staged(isotonic.knots(isotonic.isotonic_blocks(scored, p, label)), "knots"))
 
 
 @dataclass
@@ -96,19 +88,20 @@ class TrainedModel:
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        knots = self.calibrator or Calibrator([], [])
-        row = (self.feature_names, self.feature_set, knots.x, knots.y,
+        row = (self.feature_names, self.feature_set, self.calibrator is not None,
                {k: float(v) for k, v in self.metrics.items()})
         spark.createDataFrame(
             [row],
-            "feature_names ARRAY<STRING>, feature_set STRING, x ARRAY<DOUBLE>, y ARRAY<DOUBLE>, "
+            "feature_names ARRAY<STRING>, feature_set STRING, calibrated BOOLEAN, "
             "metrics MAP<STRING, DOUBLE>",
         ).write.mode("overwrite").parquet(f"{path}/sidecar")
+        if self.calibrator is not None:
+            self.calibrator.knots.write.mode("overwrite").parquet(f"{path}/knots")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TrainedModel:
         side = spark.read.parquet(f"{path}/sidecar").first()
-        knots = Calibrator(list(side["x"]), list(side["y"])) if side["x"] else None
+        knots = Calibrator(spark.read.parquet(f"{path}/knots")) if side["calibrated"] else None
         return cls(PipelineModel.load(f"{path}/pipeline"), list(side["feature_names"]),
                    side["feature_set"], knots, dict(side["metrics"]))
 

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.operators.history import Rate
 from wakeline.operators.prefix import HOT_ROWS, Family, Measure, running
+from wakeline.schema import ORDER_KEYS
+from wakeline.session import staged
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -23,6 +28,46 @@ def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     return df
 
 
+def history_differences(
+    build: Callable[[DataFrame, Sequence[Rate]], DataFrame],
+    df: DataFrame,
+    rates: Sequence[Rate],
+    day_column: str,
+    cutoff,
+    tampered: dict[str, Column],
+    labels: Callable[[DataFrame], DataFrame],
+    *,
+    reads: Sequence[str] = (*ORDER_KEYS, "race_date"),
+    digits: int = 9,
+) -> DataFrame:
+    """Leak proof of a history build in one run: how many rows before ``cutoff`` change.
+
+    Rows from ``cutoff`` on are altered by ``tampered``, and ``labels`` derives the values of the
+    rates from either. Both values lie in one row and each rate is built twice under two names, so
+    the rows go through the build's shuffles once and are compared where they are. ``build`` gives
+    ``{name}_rate`` and, if it likes, ``{name}_n`` and ``{name}_raw`` of each rate it is handed. It sees
+    the columns of ``reads``, the keys and the values, which are written once.
+    """
+    late = F.col(day_column) >= F.lit(cutoff)
+    values = list(dict.fromkeys(r.value for r in rates))
+    changed = labels(df.withColumns({c: F.when(late, v).otherwise(F.col(c)) for c, v in tampered.items()}
+                                    | {f"_true_{c}": F.col(c) for c in tampered}))
+    altered = changed.withColumns({f"_late_{v}": F.col(v) for v in values})
+    both = labels(altered.withColumns({c: F.col(f"_true_{c}") for c in tampered}))
+    seen = [*reads, day_column, *(k for r in rates for k in r.group), *values, *(f"_late_{v}" for v in values)]
+    both = staged(both.select(*dict.fromkeys(seen)), "scenarios")
+    twice = [*rates, *(replace(r, name=f"_late_{r.name}", value=f"_late_{r.value}") for r in rates)]
+    built = build(both, twice)
+
+    def same(c: str) -> Column:
+        a, b = F.col(c), F.col(f"_late_{c}")
+        return a.eqNullSafe(b) | F.coalesce(F.abs(a - b) < 10.0 ** -digits, F.lit(False))
+
+    pairs = [f"{r.name}{s}" for r in rates for s in ("_n", "_rate", "_raw") if f"{r.name}{s}" in built.columns]
+    early = built.filter(F.col(day_column) < F.lit(cutoff))
+    return early.agg(F.count(F.lit(1)).alias("rows_compared"), F.count_if(~reduce(and_, map(same, pairs))).alias("rows_changed"))
+
+
 def point_in_time_violations(
     build: Callable[[DataFrame], DataFrame],
     df: DataFrame,

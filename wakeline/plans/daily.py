@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.functions.encode import with_encodings
 from wakeline.functions.text import venue_name
+from wakeline.operators import boosting
+from wakeline.operators.groups import group_softmax
+from wakeline.operators.history_state import HistoryState
 from wakeline.operators.merge import aligned_union
 from wakeline.operators.models import TrainedModel, require_deployable
 from wakeline.operators.pricing import attach_expected_payout, price_table
 from wakeline.operators.triples import race_tickets
-from wakeline.plans.features import build
+from wakeline.plans.features import build, prepare
 from wakeline.schema import VENUES
 
 
@@ -62,6 +66,12 @@ UNKNOWN_ON_THE_DAY = [
     "course", "finish_position", "finish_status", "start_timing", "exhibition_time", "weather",
     "wind_direction", "wind_speed_m", "wave_height_cm", "decision",
 ]
+#: Their types where a card lacks them.
+UNKNOWN_TYPES = {
+    "course": "int", "finish_position": "int", "finish_status": "string", "start_timing": "double",
+    "exhibition_time": "double", "weather": "string", "wind_direction": "string", "wind_speed_m": "int",
+    "wave_height_cm": "int", "decision": "string",
+}
 
 
 def score_day(model: TrainedModel, history: DataFrame, card: DataFrame, day) -> DataFrame:
@@ -71,6 +81,19 @@ def score_day(model: TrainedModel, history: DataFrame, card: DataFrame, day) ->
     return model.predict(features_for_day(history, hidden, day))
 
 
+def card_features(state: HistoryState, card: DataFrame, day) -> DataFrame:
+    """The same features as :func:`features_for_day`, from kept sums instead of history."""
+    types = {**UNKNOWN_TYPES, **dict(card.dtypes)}
+    hidden = card.withColumns({c: F.lit(None).cast(types[c]) for c in UNKNOWN_ON_THE_DAY})
+    return with_encodings(state.rates_for(prepare(hidden), day)).drop("race_block")
+
+
+def score_card(nodes: DataFrame, state: HistoryState, card: DataFrame, day) -> DataFrame:
+    """Features, ``score`` and ``p_win`` of the card's rows by an ensemble kept as nodes."""
+    built = card_features(state, card, day)
+    return group_softmax(built.withColumn("score", boosting.margin(nodes)))
+
+
 def price_day(scored: DataFrame, dividends: DataFrame, day) -> DataFrame:
     """Tickets of the day priced with dividends of strictly earlier dates."""
     prices = price_table(dividends.filter(F.col("race_date") < F.lit(day)))
