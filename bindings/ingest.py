@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bindings.tables import read
 from wakeline.functions import text as tx
-from wakeline.session import tune
+from wakeline.session import shared_dir, tune
 from wakeline.sources.fixed_width import parse_fixed_width, record, split_lines
 from wakeline.sources.pages import element_cells, is_unavailable
+from wakeline.streaming import keyed_state
 
 QUERIES = {}
 SQL = {}
@@ -198,3 +201,39 @@ def html_cells(spark, sf):
         "page_id", "cell_no", F.regexp_extract("attrs", 'href="([^"]*)"', 1).alias("href"), "text",
         "unavailable",
     )
+
+
+def _stream_of_events(spark, sf, files: int = 4):
+    """The table as files that arrive two at a time, in no order of time."""
+    events = read(spark, sf, "events")
+    folder = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
+    events.repartition(files, F.xxhash64("event_id")).write.parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+
+
+def _kept(spark, stream, merge):
+    checkpoint = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    keyed_state.keep(stream, merge, checkpoint).awaitTermination()
+    return keyed_state.read_state(spark, merge, checkpoint)
+
+
+@query("stream_latest_record", """SELECT user_id, event_type, round(value, 6) AS value, props FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def stream_latest_record(spark, sf):
+    """The newest record of each key, kept in a state store over several batches."""
+    merge = keyed_state.Merge(["user_id"], ["ts", "event_id"], ["event_type", "value", "props"], whole=True, salts=2)
+    return _kept(spark, _stream_of_events(spark, sf), merge).withColumn("value", F.round("value", 6))
+
+
+@query("stream_late_feed", """SELECT user_id,
+  round(arg_max(value, (ts, event_id)) FILTER (event_type = 'purchase'), 6) AS last_purchase,
+  arg_max(props, (ts, event_id)) FILTER (event_type = 'error') AS last_error, bool_or(event_type = 'signup') AS signed_up
+FROM events GROUP BY user_id""")
+def stream_late_feed(spark, sf):
+    """Columns that different feeds carry, each with its newest value, and a flag that any feed sets."""
+    kind = F.col("event_type")
+    feeds = _stream_of_events(spark, sf).select(
+        "user_id", "ts", "event_id", F.when(kind == "purchase", F.col("value")).alias("last_purchase"),
+        F.when(kind == "error", F.col("props")).alias("last_error"), (kind == "signup").alias("signed_up"))
+    merge = keyed_state.Merge(["user_id"], ["ts", "event_id"], ["last_purchase", "last_error", "signed_up"], either=["signed_up"])
+    return _kept(spark, feeds, merge).withColumn("last_purchase", F.round("last_purchase", 6))
