@@ -185,14 +185,16 @@ def year_split_query(spark, sf):
     return train.unionByName(valid).select("race_no", "lane", "part")
 
 
-@query("walk_forward_folds", f"""WITH {PREPARED_SQL}
-SELECT CAST(y AS INT) AS eval_year, count(*) FILTER (WHERE year(race_date) < y - 1) AS train_rows,
-  count(*) FILTER (WHERE year(race_date) = y - 1) AS holdout_rows, count(*) FILTER (WHERE year(race_date) = y) AS rows
-FROM prepared, range(1996, 2002) t(y)
-GROUP BY y
-HAVING count(*) FILTER (WHERE year(race_date) < y) >= 10000 AND train_rows > 0 AND holdout_rows > 0 AND rows > 0""")
+@query("walk_forward_folds", f"""WITH {PREPARED_SQL},
+counted AS (
+  SELECT CAST(y AS INT) AS eval_year, count(*) FILTER (WHERE year(race_date) < y - 1) AS train_rows,
+    count(*) FILTER (WHERE year(race_date) = y - 1) AS holdout_rows, count(*) FILTER (WHERE year(race_date) = y) AS rows
+  FROM prepared, range(1991, 2002) t(y) GROUP BY y)
+SELECT *, CASE WHEN rows = 0 THEN 'no rows to evaluate' WHEN holdout_rows = 0 THEN 'no rows to stop on'
+  WHEN train_rows = 0 THEN 'no rows to fit' WHEN train_rows + holdout_rows < 10000 THEN 'fewer than 10000 past rows' END AS skipped
+FROM counted""")
 def walk_forward_query(spark, sf):
-    return splits.walk_forward_folds(members(spark, sf), 1996, 2001)
+    return splits.walk_forward_folds(members(spark, sf), 1991, 2001)
 
 
 @query("chrono_split", f"""WITH {PREPARED_SQL},

@@ -34,6 +34,16 @@ def test_last_dividend_is_not_in_its_own_price(rows, hot_rows):
     assert pricing.price_table(df).first()["expected_payout"] == 1000.0
 
 
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_every_combination_has_its_price(rows, monkeypatch, sent):
+    """Lanes of two digits and other texts are combinations too, whether the table is sent or not."""
+    monkeypatch.setattr(pricing, "SENT_PRICES", sent)
+    prices = rows("combination STRING, expected_payout DOUBLE", ("10-1-2", 500.0), ("x", 100.0), ("x", 200.0))
+    tickets = rows("combination STRING, p_model DOUBLE", ("10-1-2", 0.5), ("x", 0.5), ("1-2-3", 0.5))
+    got = {r["combination"]: r["ev"] for r in pricing.attach_expected_payout(tickets, prices).collect()}
+    assert got == {"10-1-2": 2.5, "x": 1.0, "1-2-3": None}
+
+
 def test_rare_combinations_fall_back_to_the_overall_mean(rows):
     prices, _ = expected(divs(rows, 1000, 2000, 3000))
     assert prices == [None, 1000.0, 1500.0]

@@ -137,4 +137,7 @@ def test_splits(spark, rows):
     parts = {r["race_date"]: r["part"] for r in splits.chronological(df).collect()}
     assert [parts[d] for d in sorted(parts)] == ["train"] * 8 + ["valid"] * 2 + ["test"] * 2
     folds = splits.walk_forward_folds(df, 2015, 2019, min_past_rows=3).collect()
-    assert {r["eval_year"] for r in folds} == {2018, 2019}
+    assert {r["eval_year"]: r["skipped"] for r in folds} == {
+        2015: "no rows to stop on", 2016: "no rows to fit", 2017: "fewer than 3 past rows", 2018: None, 2019: None}
+    late = splits.walk_forward_folds(df, 2028, 2028, min_past_rows=3).first()
+    assert late["skipped"] == "no rows to evaluate" and late["train_rows"] == 12

@@ -179,7 +179,7 @@ def walk_forward(
 ) -> list[dict]:
     """Retrain on everything before year Y-1, stop on Y-1, evaluate on Y.
 
-    The loop runs over usable years; each fit and evaluation is a distributed job on rows
+    A fold that cannot be used is returned with the reason. The loop runs over the years; each fit and evaluation is a distributed job on rows
     that are written once.
     """
     df = staged(df, "folds")
@@ -187,11 +187,14 @@ def walk_forward(
     out = []
     for fold in sorted(folds.collect(), key=lambda r: r["eval_year"]):
         year = fold["eval_year"]
+        if fold["skipped"]:
+            out.append({"eval_year": year, "train_rows": fold["train_rows"], "skipped": fold["skipped"]})
+            continue
         fit = df.filter(F.col("race_date") < F.lit(f"{year - 1}-01-01").cast("date"))
         model = train(fit, years(df, year - 1, year - 1), label=label,
                       feature_set=feature_set, params=params)
         row = metrics.evaluate(model.predict(years(df, year, year)), "p_win", label).first()
         out.append({"eval_year": year, "train_rows": fold["train_rows"], "rows": row["rows"],
-                    "brier": row["brier"], "roc_auc": row["roc_auc"],
+                    "brier": row["brier"], "roc_auc": row["roc_auc"], "skipped": None,
                     "trees": len(model.pipeline.stages[-1].trees)})
     return out

@@ -20,7 +20,10 @@ from wakeline.schema import (
     TICKET_KEYS,
     TICKET_YEN,
 )
+from wakeline.session import staged
 
+#: Rows of a price table that is sent to every task.
+SENT_PRICES = 100_000
 _DAY_LEVELS = [["race_date"], ["stadium_id", "race_block"]]
 
 
@@ -73,14 +76,13 @@ def combination_frequencies(dividends: DataFrame) -> DataFrame:
 def attach_expected_payout(tickets: DataFrame, prices: DataFrame) -> DataFrame:
     """One price per combination, at most one row of each being read.
 
-    Tickets stay where they are: a table of triples of lanes has at most 9 * 8 * 7 rows, so it
-    is sent to them.
+    The prices are written first. Tickets stay where they are while the table has few enough rows to
+    be sent to them; beyond SENT_PRICES both sides are shuffled.
     """
-    latest = (
-        prices.filter(F.col("combination").rlike("^[1-9]-[1-9]-[1-9]$"))
-        .groupBy("combination").agg(F.max("expected_payout").alias("expected_payout"))
-    )
-    return tickets.join(F.broadcast(latest), "combination", "left").withColumn(
+    latest = staged(prices.groupBy("combination").agg(F.max("expected_payout").alias("expected_payout")), "prices")
+    if latest.count() <= SENT_PRICES:
+        latest = F.broadcast(latest)
+    return tickets.join(latest, "combination", "left").withColumn(
         "ev", F.col("p_model") * F.col("expected_payout") / TICKET_YEN
     )
 

@@ -35,14 +35,17 @@ def hold_out(df: DataFrame, *, final_evaluation: bool = False) -> DataFrame:
 def walk_forward_folds(
     df: DataFrame, first: int, last: int, *, min_past_rows: int = MIN_PAST_ROWS
 ) -> DataFrame:
-    """Usable folds: fit before year-1, stop early on year-1, evaluate on year.
+    """Folds: fit before year-1, stop early on year-1, evaluate on year.
 
-    One count per calendar year; the folds come from that small table.
+    ``skipped`` says why a fold cannot be used, and is NULL where it can. One count per calendar
+    year; the folds come from that small table, years without rows included.
     """
     per_year = df.groupBy(F.year("race_date").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    folds = per_year.select(
+    asked = df.sparkSession.range(first, last + 1).select(
+        F.col("id").cast("int").alias("eval_year"), F.lit(None).cast("int").alias("y"), F.lit(0).cast("long").alias("n"))
+    folds = asked.unionByName(per_year.select(
         F.explode(F.sequence(F.lit(first), F.lit(last))).alias("eval_year"), "y", "n"
-    )
+    ))
     total = {
         "train_rows": F.col("y") < F.col("eval_year") - 1,
         "holdout_rows": F.col("y") == F.col("eval_year") - 1,
@@ -51,12 +54,13 @@ def walk_forward_folds(
     summed = folds.groupBy("eval_year").agg(
         *[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name) for name, c in total.items()]
     )
-    return summed.filter(
-        (F.col("train_rows") + F.col("holdout_rows") >= min_past_rows)
-        & (F.col("train_rows") > 0)
-        & (F.col("holdout_rows") > 0)
-        & (F.col("rows") > 0)
+    reason = (
+        F.when(F.col("rows") == 0, "no rows to evaluate")
+        .when(F.col("holdout_rows") == 0, "no rows to stop on")
+        .when(F.col("train_rows") == 0, "no rows to fit")
+        .when(F.col("train_rows") + F.col("holdout_rows") < min_past_rows, f"fewer than {min_past_rows} past rows")
     )
+    return summed.withColumn("skipped", reason)
 
 
 def chronological(
