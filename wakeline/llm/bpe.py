@@ -217,6 +217,7 @@ class WordBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern.replace(r"\s", SPACE))
         self.transducer = Transducer(self.vocab, map(tuple, model["merges"]), model["end_of_word_suffix"] or "")
+        self.has_decoder = spec.get("decoder") is not None
         self._bytes = byte_symbols()
         self._words = _Words(self)
         self.tokens = {i: t for t, i in [*self.vocab.items(), *self.special.items()]}
@@ -268,6 +269,37 @@ class ByteText:
         return self._machine.decode(b"", final=True)
 
 
+class Decoder:
+    """Incremental decoder of a file: ids in, text out, holding at most one broken character.
+
+    A file with a decoder part has byte symbols, and its tokens go through :class:`ByteText`. Without
+    one the library joins the tokens' own strings by one space, and so does this.
+    """
+
+    def __init__(self, bpe: WordBpe):
+        self._name, self._suffix = bpe.tokens.__getitem__, bpe.transducer.suffix
+        self._machine = ByteText() if bpe.has_decoder else None
+        self._begun = False
+
+    def feed(self, ids: list[int]) -> str:
+        if self._machine is not None:
+            return "".join([self._machine.feed(self._name(i), self._suffix) for i in ids])
+        text = " ".join(map(self._name, ids))
+        if self._begun and ids:
+            text = " " + text
+        self._begun = self._begun or bool(ids)
+        return text
+
+    def finish(self) -> str:
+        return "" if self._machine is None else self._machine.finish()
+
+
+@functools.lru_cache(maxsize=2)
+def codec(path: str) -> WordBpe:
+    """One codec per file and Python worker, whose tables stay warm from task to task."""
+    return WordBpe(path)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): token count and digests of ids and decoded text.
 
@@ -278,21 +310,21 @@ def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def make():
-        bpe = WordBpe(tokenizer)
-        names, numbers = bpe.tokens.__getitem__, {i: str(i) for i in bpe.tokens}.__getitem__
+        bpe = codec(tokenizer)
+        numbers = {i: str(i) for i in bpe.tokens}.__getitem__
 
         def work(columns):
             counts, of_ids, of_text = [], [], []
             for text in columns[1]:
-                n, ids_sum, text_sum = 0, hashlib.sha256(), hashlib.sha256()
+                n, ids_sum, text_sum, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(bpe)
                 for ids in bpe.blocks(text):
                     if ids:
                         if n:
                             ids_sum.update(b" ")
-                            text_sum.update(b" ")
                         n += len(ids)
                         ids_sum.update(" ".join(map(numbers, ids)).encode())
-                        text_sum.update(" ".join(map(names, ids)).encode())
+                        text_sum.update(decoder.feed(ids).encode())
+                text_sum.update(decoder.finish().encode())
                 counts.append(n)
                 of_ids.append(ids_sum.hexdigest())
                 of_text.append(text_sum.hexdigest())
