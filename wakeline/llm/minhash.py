@@ -15,7 +15,7 @@ copies gives about n pairs, and no link that the bucket shows is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,15 +193,25 @@ def _bridges(sig: np.ndarray, group: list[int], sets: list[np.ndarray]) -> list[
     return links
 
 
-def _in_buckets(members: DataFrame, verify: bool) -> DataFrame:
-    """Pairs (a < b) from rows (bucket, piece, doc, sig[, group, shingles]), bucket by bucket.
+def _crossing(sig: np.ndarray, group: list[int]) -> np.ndarray:
+    """Which members have a likely partner in another group."""
+    groups, least = np.asarray(group), LIKELY * sig.shape[1]
+    crossing = np.zeros(len(sig), dtype=bool)
+    for i in range(len(sig) - 1):
+        likely = (_agreement(sig[i + 1:], sig[i]) >= least) & (groups[i + 1:] != groups[i])
+        crossing[i + 1:] |= likely
+        crossing[i] |= likely.any()
+    return crossing
+
+
+def _in_buckets(members: DataFrame, columns: list[str], judge: Callable[..., list[tuple]], schema: str) -> DataFrame:
+    """``judge(key, ids, *columns)`` of every (bucket, piece) of rows (bucket, piece, doc, columns).
 
-    Without ``verify``: a forest of likely pairs. With it: verified links between groups. A
-    (bucket, piece) holds at most about 2 * PIECE rows; rows stream through, sorted, and one
-    (bucket, piece) is held at a time.
+    A (bucket, piece) holds at most about 2 * PIECE rows; rows stream through, sorted, and one
+    (bucket, piece) is held at a time. The first column is the signature.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    columns = ["bucket", "piece", "doc", "sig", *(["group", "shingles"] if verify else [])]
+    out = pa.schema([(field.split()[0], pa.int64()) for field in schema.split(",")])
+    names = ["bucket", "piece", "doc", *columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -209,18 +219,15 @@ def _in_buckets(members: DataFrame, verify: bool) -> DataFrame:
 
         def close() -> None:
             if len(held) > 1:
-                ids = [x[0] for x in held]
-                sig = np.frombuffer(b"".join(x[1] for x in held), dtype=np.uint8).reshape(len(held), -1)
-                pairs = _bridges(sig, [x[2] for x in held], [x[3] for x in held]) if verify else _forest(sig)
-                found.extend((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in pairs if ids[i] != ids[j])
+                ids, sig, *more = zip(*held)
+                found.extend(judge(key, ids, np.frombuffer(b"".join(sig), dtype=np.uint8).reshape(len(held), -1), *more))
 
-        def batch_of(pairs: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=schema)
+        def batch_of(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(out))], schema=out)
 
         for batch in batches:
-            rows = [batch.column(i).to_pylist() for i in range(len(columns) - verify)]
-            if verify:
-                rows.append([x.values.to_numpy() for x in batch.column(len(columns) - 1)])
+            rows = [[x.values.to_numpy() for x in batch.column(i)] if name == "shingles" else batch.column(i).to_pylist()
+                    for i, name in enumerate(names)]
             for bucket, piece, *rest in zip(*rows):
                 if key != (bucket, piece):
                     close()
@@ -232,8 +239,34 @@ def _in_buckets(members: DataFrame, verify: bool) -> DataFrame:
         close()
         yield batch_of(found)
 
-    dealt = (members.select(columns).repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "doc"))
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = members.select(names).repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "doc")
+    return dealt.mapInArrow(run, schema)
+
+
+def _pairs_of(ids: tuple, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return [(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in pairs if ids[i] != ids[j]]
+
+
+def _likely_forest(members: DataFrame) -> DataFrame:
+    """(a, b): a forest of likely pairs of each bucket."""
+    return _in_buckets(members, ["sig"], lambda key, ids, sig: _pairs_of(ids, _forest(sig)), "a long, b long").distinct()
+
+
+def _links_between(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): verified links between groups, from rows with their group.
+
+    Signatures alone tell which members have a likely partner in another group; only these are
+    met again with their shingles.
+    """
+    crossing = _in_buckets(
+        members, ["sig", "group"],
+        lambda key, ids, sig, group: [(*key, ids[i]) for i in np.flatnonzero(_crossing(sig, group))],
+        "bucket long, piece long, doc long")
+    place = ["bucket", "piece", "doc"]
+    met = members.join(crossing.distinct(), place, "left_semi").join(texts, "doc")
+    return _in_buckets(met, ["sig", "group", "shingles"],
+                       lambda key, ids, sig, group, sets: _pairs_of(ids, _bridges(sig, list(group), list(sets))),
+                       "a long, b long").distinct()
 
 
 def _buckets(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -359,7 +392,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     pairs, members = _buckets(reps)
     members = staged(_pieces(members).join(reps.select("doc", "sig"), "doc"), "members")
-    first = staged(pairs.unionByName(_in_buckets(members, verify=False)).distinct(), "pairs")
+    first = staged(pairs.unionByName(_likely_forest(members)).distinct(), "pairs")
     ends = first.select(F.col("a").alias("doc")).unionByName(
         members.select("doc")).unionByName(first.select(F.col("b").alias("doc"))).distinct()
     texts = staged(_needed(docs, staged(ends, "ends")).dropDuplicates(["doc"]), "shingles")
@@ -369,7 +402,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # buckets whose members are not all in one group yet
     labelled = staged(members.join(groups, "doc", "left").withColumn("group", F.coalesce("component", "doc")).drop("component"), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("bucket")
-    more = staged(_in_buckets(labelled.join(mixed, "bucket").join(texts, "doc"), verify=True), "links")
+    more = staged(_links_between(labelled.join(mixed, "bucket"), texts), "links")
     if more.take(1):
         groups = staged(components(links.unionByName(more)), "groups")
 
