@@ -206,12 +206,12 @@ def test_repair_against_dijkstra(spark, block_rows):
         want.setdefault(conv, []).extend([(turn, " " if role is None else role, " " if text is None else text)] * copies)
     want = {c: repair_by_hand(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))) for c, rows in want.items()}
     made = repair.repair(df, block_rows)
-    got = {r[0]: tuple(r)[1:] for r in repair.digests(made).collect()}
+    got = {r[0]: tuple(r)[1:] for r in repair.digests(df, made).collect()}
     assert got == want
     assert got[-1] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())
     # the repaired rows themselves give the digest
     lines = {}
-    for r in sorted(repair.repaired_turns(made).collect(), key=lambda r: (r["block"], r["position"])):
+    for r in sorted(repair.repaired_turns(df, made).collect(), key=lambda r: (r["block"], r["position"])):
         lines.setdefault(r["conv_id"], []).append(f"{r['role']}:{r['text']}")
     assert {c: hashlib.sha256("\n".join(v).encode()).hexdigest() for c, v in lines.items()} == {
         c: w[7] for c, w in want.items() if c in lines}
@@ -219,7 +219,7 @@ def test_repair_against_dijkstra(spark, block_rows):
 
 def test_repair_of_an_empty_table(spark):
     none = spark.createDataFrame([], TURN)
-    assert repair.digests(repair.repair(none)).collect() == []
+    assert repair.digests(none, repair.repair(none)).collect() == []
     assert repair.repair(repair.damaged(none)).collect() == []
 
 

@@ -92,7 +92,7 @@ def op12_filter_audit(spark, sf_dir):
 def op13_conversation_repair(spark, sf_dir):
     """Conversations damaged by checksum, then repaired."""
     turns = repair.damaged(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
-    return repair.digests(repair.repair(turns))
+    return repair.digests(turns, repair.repair(turns))
 
 
 OP7_SQL = r"""

@@ -28,8 +28,8 @@ from wakeline.session import staged
 
 #: Costs of a rerole, a deletion, an insertion, and of a truncated row that stays.
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
-#: A block ends after so many rows or characters.
-BLOCK_ROWS, BLOCK_CHARS = 4096, 1 << 17
+#: A block ends after so many rows.
+BLOCK_ROWS = 4096
 #: Fixed value: what a blank text consists of.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -44,9 +44,10 @@ NO_FAULT, BLANK, DUPLICATE, CUT_OFF = range(4)
 END = (0, 2 * INSERT, INSERT, 0)  # what is left to pay after the last row
 NEVER = 1 << 60
 
+#: What orders the rows of a table of conversations, nulls first: the last two stand for the text.
+ORDER = ["conv_id", "turn", "role", "opening", "digest"]
 BLOCKS = ("conv_id long, block long, initials array<int>, faults array<int>, copies array<long>, "
-          "turns array<long>, roles array<string>, texts array<string>")
-TURNS = "conv_id long, block long, position int, edit string, turn long, role string, text string"
+          "turns array<long>, roles array<string>, digests array<binary>, opening string")
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
@@ -65,51 +66,54 @@ def damaged(conversations: DataFrame) -> DataFrame:
         F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1).alias("copies"))
 
 
-def judged(turns: DataFrame) -> DataFrame:
-    """Equal rows of a turn together, with copies, digest and the fault of the first of them."""
+def keyed(turns: DataFrame) -> DataFrame:
+    """The columns of ORDER, text and copies; null roles and texts are one space."""
     rows = turns.select(*[F.col(c).cast("long").alias(c) for c in ("conv_id", "turn")], *[
         F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")], F.col("copies").cast("long").alias("copies"))
-    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("copies").alias("copies"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    return rows.withColumns({"opening": F.substring("text", 1, 16), "digest": F.unhex(F.sha2("text", 256))})
+
+
+def judged(turns: DataFrame) -> DataFrame:
+    """Equal rows of a turn together, with copies and the fault of the first of them; no texts."""
+    blank, cut = ~F.col("text").rlike(SPACE.replace("[", "[^")), ~F.col("text").rlike(r"[.!?]" + SPACE + r"*\z")
+    rows = keyed(turns).select(*ORDER, "copies", blank.alias("blank"), cut.alias("cut"))
+    rows = rows.groupBy(*ORDER, "blank", "cut").agg(F.sum("copies").alias("copies"))
     # where a role first says a text: found by an aggregate and matched to that one row, so that
     # a text said very often gathers nothing
     first = (rows.filter(F.col("copies") > 0).groupBy(F.col("conv_id").alias("f_conv"), F.col("role").alias("f_role"), F.col("digest").alias("f_digest"))
              .agg(F.min(F.struct("turn")).alias("at")).select("f_conv", "f_role", "f_digest", F.col("at.turn").alias("f_turn"), F.lit(True).alias("is_first")))
     rows = rows.join(first, F.col("conv_id").eqNullSafe(F.col("f_conv")) & (F.col("role") == F.col("f_role"))
                      & (F.col("digest") == F.col("f_digest")) & F.col("turn").eqNullSafe(F.col("f_turn")), "left")
-    fault = (F.when(~F.col("text").rlike(SPACE.replace("[", "[^")), BLANK).when(F.col("is_first").isNull(), DUPLICATE)
-             .when(~F.col("text").rlike(r"[.!?]" + SPACE + r"*\z"), CUT_OFF).otherwise(NO_FAULT))
-    return rows.select("conv_id", "turn", "role", "text", "copies", "digest", fault.alias("fault"))
+    fault = (F.when(F.col("blank"), BLANK).when(F.col("is_first").isNull(), DUPLICATE)
+             .when(F.col("cut"), CUT_OFF).otherwise(NO_FAULT))
+    return rows.select(*ORDER, "copies", fault.alias("fault"))
 
 
 def blocks(turns: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows in order, cut by range into tasks and there into blocks of one conversation each.
 
-    Order: conv_id, turn, role, text (its first 64 characters, then its digest), nulls first.
+    Order: conv_id, turn, role, text (its first 16 characters, then its digest), nulls first.
     """
-    rows = judged(turns).withColumn("opening", F.substring("text", 1, 64))
-    order = ["conv_id", "turn", "role", "opening", "digest"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    names = ["conv_id", "turn", "role", "text", "copies", "fault"]
+    rows = judged(turns).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    names = [*ORDER, "copies", "fault"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
         held: list[tuple] = []
-        chars, out = 0, []
+        out: list[tuple] = []
 
         def close() -> None:
-            nonlocal number, held, chars
-            _, turn, role, text, copies, fault = zip(*held)
+            nonlocal number, held
+            _, turn, role, opening, digest, copies, fault = zip(*held)
             out.append((held[0][0], number, [INITIAL.get(r[:1], 0) for r in role], list(fault), list(copies),
-                        list(turn), list(role), list(text)))
-            number, held, chars = number + 1, [], 0
+                        list(turn), list(role), list(digest), opening[0]))
+            number, held = number + 1, []
 
         for batch in batches:
             for row in zip(*[batch.column(n).to_pylist() for n in names]):
-                if held and (row[0] != held[0][0] or len(held) >= block_rows or chars >= BLOCK_CHARS):
+                if held and (row[0] != held[0][0] or len(held) >= block_rows):
                     close()
                 held.append(row)
-                chars += len(row[3])
             if out:
                 yield _batch(out, BLOCKS)
                 out = []
@@ -122,7 +126,7 @@ def blocks(turns: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def _arrow(ddl: str) -> pa.Schema:
     """The Arrow schema of ``name type`` pairs, without a session."""
-    plain = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+    plain = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
     return pa.schema([(name, pa.list_(plain[kind[6:-1]]) if kind.startswith("array") else plain[kind])
                       for name, kind in (field.split() for field in ddl.split(","))])
 
@@ -220,7 +224,10 @@ def _map(df: DataFrame, work: Callable[..., tuple], ddl: str) -> DataFrame:
 
 
 def _stream(df: DataFrame, start: Callable[[], Callable[..., list[tuple]]], ddl: str, *order: Column) -> DataFrame:
-    """Rows of a conversation in order through one function that holds only a state."""
+    """Rows of a conversation in order through one function that holds only a state.
+
+    ``order`` follows conv_id.
+    """
     names = df.columns
     df = df.repartition("conv_id").sortWithinPartitions("conv_id", *order)
 
@@ -272,7 +279,7 @@ def _forwards():
 
 
 def repair(turns: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Blocks of every conversation with the edits that repair them, and their cost.
+    """Blocks of every conversation with the edits that repair them, and their cost; no texts.
 
     ``turns``: conv_id, turn, role, text and copies (how often the row stands there; 0: it is gone,
     but its conversation is still returned). Null roles and texts are one space; null turns come
@@ -306,8 +313,8 @@ def repair(turns: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return cut.join(chosen, F.col("block") == F.col("e_block")).drop("e_block")
 
 
-def _rows(roles: list[str], texts: list[str], copies: list[int], edits: str, state: int) -> Iterator[tuple]:
-    """(edit, index or None, role, text) of each edit of a block that is entered in ``state``."""
+def _rows(roles: list[str], copies: list[int], edits: str, state: int) -> Iterator[tuple]:
+    """(edit, index of the row before or at it, role) of each edit of a block entered in ``state``."""
     at, left = -1, 0
     for edit in edits:
         if edit != "I":
@@ -317,32 +324,36 @@ def _rows(roles: list[str], texts: list[str], copies: list[int], edits: str, sta
             left -= 1
         if edit in "IR":
             role, state = "assistant" if state == 2 else "user", NEXT[state]
-            yield (edit, None, role, "") if edit == "I" else (edit, at, role, texts[at])
+            yield edit, at, role
         else:
             if edit == "K":
                 state = KEEP[INITIAL.get(roles[at][:1], 0)][state]
-            yield edit, at, roles[at], texts[at]
+            yield edit, at, roles[at]
 
 
 def _digest():
-    """A conversation's blocks, first to last: its row of counts and digests when it ends."""
+    """Blocks and texts of a conversation in order: its row of counts and digests when it ends.
+
+    A block comes before its texts. It says which role each text gets, and which rows are new.
+    """
     now: dict = {}
 
-    def finish():
+    def line(role: str, text: str) -> None:
+        now["sha"].update(f"{chr(10) if now['lines'] else ''}{role}:{text}".encode())
+        now["lines"] += 1
+
+    def leave_block() -> None:
+        for role in now["new"].pop(now["at"], ()):
+            line(role, "")
+
+    def finish() -> list[tuple]:
         if not now:
             return []
+        leave_block()
         span = now["max"] - now["min"] + 1 - now["turns"] if now["turns"] else 0
         return [(now["conv"], span, *now["faults"][1:], now["illegal"], now["cost"], "".join(now["audit"]), now["sha"].hexdigest())]
 
-    def step(conv_id, block, initials, faults, copies, turns, roles, texts, entry, edits, cost, done=False):
-        out = []
-        if done or not now or now["conv"] != conv_id:
-            out = finish()
-            now.clear()
-            if done:
-                return out
-            now.update(conv=conv_id, min=None, max=None, turns=0, faults=[0] * 4, illegal=0, cost=0, audit=[],
-                       sha=hashlib.sha256(), lines=0, initial=None)
+    def enter_block(initials, faults, copies, turns, roles, entry, edits, cost) -> None:
         for initial, fault, n, turn in zip(initials, faults, copies, turns):
             if not n:
                 continue
@@ -353,45 +364,81 @@ def _digest():
             if turn is not None and turn != now["max"]:
                 now["min"] = turn if now["min"] is None else now["min"]
                 now["max"], now["turns"] = turn, now["turns"] + 1
-        for edit, _, role, text in _rows(roles, texts, copies, edits, entry):
-            if edit != "D":
-                now["sha"].update(f"{chr(10) if now['lines'] else ''}{role}:{text}".encode())
-                now["lines"] += 1
+        now.update(at=-1, key=None, stay={}, new={})
+        for edit, at, role in _rows(roles, copies, edits, entry):
+            if edit == "I":
+                now["new"].setdefault(at, []).append(role)
+            elif edit != "D":
+                now["stay"][at] = role
         now["cost"] += cost
         now["audit"].append(edits)
+
+    def step(conv_id, turn, role, opening, digest, text, plan, done=False):
+        out = []
+        if done or not now or now["conv"] != conv_id:
+            out = finish()
+            now.clear()
+            if done:
+                return out
+            now.update(conv=conv_id, min=None, max=None, turns=0, faults=[0] * 4, illegal=0, cost=0, audit=[],
+                       sha=hashlib.sha256(), lines=0, initial=None, at=-1, key=None, stay={}, new={})
+        if plan is not None:
+            leave_block()
+            enter_block(**plan)
+        elif (turn, role, digest) != now["key"]:  # equal rows are one row of the block
+            leave_block()
+            now["key"], now["at"] = (turn, role, digest), now["at"] + 1
+            if (kept := now["stay"].get(now["at"])) is not None:
+                line(kept, text)
         return out
 
     return step
 
 
-def digests(repaired: DataFrame) -> DataFrame:
+def digests(turns: DataFrame, repaired: DataFrame) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256.
 
-    One row per conversation, from the blocks of :func:`repair`. A digest must see its text in order,
-    so the rows of a conversation stream through one task, which holds none of them. Conversations
-    without rows have zeros, an empty audit and the digest of nothing.
+    One row per conversation of ``turns``, with the blocks that :func:`repair` made of them. A digest
+    must see its text in order, so the texts of a conversation stream through one task, each block
+    before its own, and none is held. Conversations without rows have zeros, an empty audit and the
+    digest of nothing.
     """
-    columns = ["conv_id", "block", "initials", "faults", "copies", "turns", "roles", "texts", "entry", "edits", "cost"]
-    return _stream(repaired.select(*columns), _digest,
+    plan = F.struct("initials", "faults", "copies", "turns", "roles", "entry", "edits", "cost")
+    first = repaired.select("conv_id", F.get("turns", F.lit(0)).alias("turn"), F.get("roles", F.lit(0)).alias("role"), "opening",
+                            F.get("digests", F.lit(0)).alias("digest"), F.lit(None).cast("string").alias("text"), plan.alias("plan"))
+    texts = keyed(turns).select(*ORDER, "text", F.lit(None).cast(first.schema["plan"].dataType).alias("plan"))
+    # of two rows with the same key the one with the plan comes first
+    return _stream(first.unionByName(texts), _digest,
                    "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, "
-                   "audit string, repaired_sha256 string", F.asc("block"))
+                   "audit string, repaired_sha256 string", *ORDER[1:], F.col("plan").isNull())
 
 
-def repaired_turns(repaired: DataFrame) -> DataFrame:
+def repaired_turns(turns: DataFrame, repaired: DataFrame) -> DataFrame:
     """conv_id, block, position, edit, turn, role, text: every row that stays or is new.
 
-    Sort by block and position. Blocks are read on their own; inserted rows have no turn.
+    Sort by block and position. Blocks are read on their own and their rows meet their texts by key;
+    inserted rows have no turn and an empty text.
     """
+    made = "conv_id long, block long, position int, edit string, role string, k_turn long, k_role string, k_digest binary"
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                made = enumerate(_rows(r["roles"], r["texts"], r["copies"], r["edits"], r["entry"]))
-                out = [(r["conv_id"], r["block"], i, edit, None if at is None else r["turns"][at], role, text)
-                       for i, (edit, at, role, text) in made if edit != "D"]
+                out = []
+                for i, (edit, at, role) in enumerate(_rows(r["roles"], r["copies"], r["edits"], r["entry"])):
+                    if edit != "D":
+                        key = (None, None, None) if edit == "I" else (r["turns"][at], r["roles"][at], r["digests"][at])
+                        out.append((r["conv_id"], r["block"], i, edit, role, *key))
                 if out:
-                    yield _batch(out, TURNS)
-
-    return repaired.select("conv_id", "block", "turns", "roles", "texts", "copies", "entry", "edits").mapInArrow(rows, TURNS)
+                    yield _batch(out, made)
+
+    kept = repaired.select("conv_id", "block", "turns", "roles", "digests", "copies", "entry", "edits").mapInArrow(rows, made)
+    texts = keyed(turns).groupBy(F.col("conv_id").alias("t_conv"), F.col("turn").alias("t_turn"), F.col("role").alias("t_role"),
+                                 F.col("digest").alias("t_digest")).agg(F.first("text").alias("t_text"))
+    same = (F.col("conv_id").eqNullSafe(F.col("t_conv")) & F.col("k_turn").eqNullSafe(F.col("t_turn"))
+            & (F.col("k_role") == F.col("t_role")) & (F.col("k_digest") == F.col("t_digest")))
+    return kept.join(texts, same, "left").select("conv_id", "block", "position", "edit", F.col("k_turn").alias("turn"), "role",
+                                                 F.coalesce("t_text", F.lit("")).alias("text"))
 
 
 def _sql() -> str:
