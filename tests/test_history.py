@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from members import DEFAULTS, day, frame, six_boats
+from wakeline.operators.history import DEPLOYABLE_RATES, REALISED_RATES
 from wakeline.operators.quality import assert_point_in_time, point_in_time_violations
 from wakeline.plans import features
 from wakeline.schema import MEMBER_KEYS, feature_columns
@@ -137,3 +138,8 @@ def test_both_feeds_filter_and_date_range(spark):
     assert features.base_entries(entries, races, end=str(day(0))).count() == 6
     assert features.base_entries(entries, races, start=str(day(0) + timedelta(days=1))).count() == 6
     assert DEFAULTS["lane"] == 1
+
+
+def test_venues_share_the_shuffle_of_the_overall_means():
+    """A few venues must neither be the shuffle key nor cost a pass over all rows."""
+    assert {r.anchor for r in (*DEPLOYABLE_RATES, *REALISED_RATES)} == {(), ("racer_id",), ("stadium_id", "motor_no")}
