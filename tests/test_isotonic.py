@@ -74,3 +74,19 @@ def test_no_knot_is_in_the_plan(spark):
     table = spark.range(5000).select((F.col("id") / 7).alias("x"), (F.col("id") / 5000).alias("y"))
     plan = isotonic.interpolated(spark.range(3).select(F.col("id").cast("double").alias("p")), "p", table)
     assert len(plan._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_lookup_searches_plain_columns(spark):
+    """The leaf's numbers are not taken out of the knots anew in every step of a row's search."""
+    table = spark.range(5000).select((F.col("id") / 7).alias("x"), (F.col("id") / 5000).alias("y"))
+    plan = isotonic.interpolated(spark.range(3).select(F.col("id").cast("double").alias("p")), "p", table)
+    assert "transform(_knots" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_lookup_is_the_same_whether_knots_are_sent_or_not(spark, sent, monkeypatch):
+    monkeypatch.setattr(isotonic, "SENT_KNOTS", sent)
+    table = spark.range(300).select((F.col("id") / 300).alias("x"), (F.col("id") / 300).alias("y"))
+    df = spark.range(-5, 310).select((F.col("id") / 310).alias("p"), (F.col("id") / 310).alias("want"))
+    far = F.abs(F.col("p") - F.least(F.greatest("want", F.lit(0.0)), F.lit(299 / 300))) > 1e-12
+    assert isotonic.interpolated(df, "p", table).filter(far).count() == 0

@@ -25,6 +25,8 @@ from wakeline.session import staged
 FAN = 8
 #: Leaves of a lookup table (at most), and knots of a leaf (at least).
 MAX_LEAVES, LEAF_KNOTS = 4096, 64
+#: Knots of a table that is sent to every task; beyond, rows are shuffled to their leaves.
+SENT_KNOTS = 100_000
 
 BLOCK = "range long, lo double, hi double, total double, weight double"
 
@@ -102,9 +104,12 @@ def knots(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.explode(ends).alias("x"), y.alias("y"))
 
 
-def _below(values: Column, value: Column) -> Column:
-    """How many of up to 2**21 ascending values are at most ``value``, by binary search."""
-    steps = F.lit([1 << k for k in reversed(range(21))])
+def _below(values: Column, value: Column, most: int) -> Column:
+    """How many of at most ``most`` ascending values are at most ``value``, by binary search.
+
+    Each step evaluates both columns anew, so they should be plain ones.
+    """
+    steps = F.lit([1 << k for k in reversed(range(max(1, most.bit_length())))])
     return F.aggregate(steps, F.lit(0), lambda n, step: F.when(
         (n + step <= F.size(values)) & (F.get(values, n + step - 1) <= value), n + step).otherwise(n))
 
@@ -129,20 +134,23 @@ def interpolated(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
 
     def placed(rows: DataFrame, value: Column) -> DataFrame:
         rows = rows.withColumn("_one", F.lit(1)).join(cuts, "_one")
-        return rows.withColumn("_leaf", _below(F.col("_cuts"), value)).drop("_one", "_cuts")
+        return rows.withColumn("_leaf", _below(F.col("_cuts"), value, len(at))).drop("_one", "_cuts")
 
     leaf = placed(table.select("x", "y"), F.col("x")).groupBy("_leaf").agg(
         F.array_sort(F.collect_list(F.struct("x", "y"))).alias("_knots"))
     order = Window.orderBy("_leaf")  # at most MAX_LEAVES rows
     leaf = leaf.select("_leaf", F.concat("_knots", F.coalesce(F.slice(F.lead("_knots").over(order), 1, 1), none)).alias("_knots"))
+    leaf = leaf.select("_leaf", F.col("_knots.x").alias("_x"), F.col("_knots.y").alias("_y"))
+    if about["n"] <= SENT_KNOTS:  # rows stay where they are, and no leaf is hot
+        leaf = F.broadcast(leaf)
     value = F.col(column).cast("double")
-    last = _below(F.transform("_knots", lambda k: k["x"]), value) - 1
+    last = _below(F.col("_x"), value, about["n"]) - 1
 
     def mapped(i: Column) -> Column:
-        a, b = F.get("_knots", i), F.get("_knots", i + 1)
-        slope = F.try_divide(b["y"] - a["y"], b["x"] - a["x"])
-        return (F.when(i < 0, F.get("_knots", F.lit(0))["y"]).when(b.isNull() | (value == a["x"]), a["y"])
-                .otherwise(slope * (value - a["x"]) + a["y"]))
+        x0, x1, y0, y1 = F.get("_x", i), F.get("_x", i + 1), F.get("_y", i), F.get("_y", i + 1)
+        slope = F.try_divide(y1 - y0, x1 - x0)
+        return (F.when(i < 0, F.get("_y", F.lit(0))).when(x1.isNull() | (value == x0), y0)
+                .otherwise(slope * (value - x0) + y0))
 
     # a one-element list binds the position for its four reads
     inner = F.get(F.transform(F.array(last), mapped), F.lit(0))
