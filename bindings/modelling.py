@@ -166,13 +166,15 @@ def isotonic_blocks(spark, sf):
 
 @query("isotonic_invariants", f"""WITH {PREPARED_SQL},
 c AS (SELECT stadium_id, race_date, race_no, count(*) AS n, sum(won) AS w FROM prepared GROUP BY ALL HAVING count(*) = 6 AND sum(won) = 1)
-SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(w) AS BIGINT) AS wins, 0 AS outside, true AS keeps_the_mean FROM c""")
+SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(w) AS BIGINT) AS wins, 0 AS falls, 0 AS outside, true AS keeps_the_mean FROM c""")
 def isotonic_invariants(spark, sf):
-    """The fitted map stays in [0, 1] and keeps the mean of the labels."""
+    """The fitted map never falls, stays in [0, 1] and keeps the mean of the labels."""
     rows = scored(spark, sf)
-    fitted = models.fit_calibrator(rows).map(rows).select("won", F.col("p_win").alias("y"))
-    return fitted.agg(
+    calibrator = models.fit_calibrator(rows)
+    fitted = calibrator.map(rows).select("won", F.col("p_win").alias("y"))
+    return fitted.crossJoin(F.broadcast(isotonic.falls(calibrator.knots))).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(F.col("won").cast("long")).alias("wins"),
+        F.coalesce(F.max("falls"), F.lit(0)).cast("int").alias("falls"),
         F.count_if(~F.col("y").between(0.0, 1.0)).alias("outside"),
         (F.abs(F.avg("y") - F.avg(F.col("won").cast("double"))) < 1e-9).alias("keeps_the_mean"),
     )

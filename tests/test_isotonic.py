@@ -90,3 +90,11 @@ def test_lookup_is_the_same_whether_knots_are_sent_or_not(spark, sent, monkeypat
     df = spark.range(-5, 310).select((F.col("id") / 310).alias("p"), (F.col("id") / 310).alias("want"))
     far = F.abs(F.col("p") - F.least(F.greatest("want", F.lit(0.0)), F.lit(299 / 300))) > 1e-12
     assert isotonic.interpolated(df, "p", table).filter(far).count() == 0
+
+
+def test_falls_are_counted_within_and_between_pieces(spark, rows):
+    table = spark.range(5000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 1250).cast("double").alias("y"))
+    assert isotonic.falls(table).first()["falls"] == 3
+    assert isotonic.falls(table.filter("id < 1250")).first()["falls"] == 0
+    assert isotonic.falls(rows("x double, y double", (1.0, 0.9), (1.001, 0.2), (900.0, 0.1), (901.0, 0.1))).first()["falls"] == 2
+    assert isotonic.falls(table.limit(0)).first()["falls"] == 0

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wakeline.operators.quality import decreasing_steps
 from wakeline.session import staged
 
 #: Neighbouring ranges merged in one step.
@@ -104,6 +105,17 @@ def knots(blocks: DataFrame) -> DataFrame:
     return blocks.select(F.explode(ends).alias("x"), y.alias("y"))
 
 
+def falls(table: DataFrame) -> DataFrame:
+    """One row, falls: how many knots (x, y) lie below the knot before them.
+
+    The order is cut at a thousandth of the range of ``x``, so no task walks all knots.
+    """
+    ends = table.agg(F.min("x").alias("_low"), F.max("x").alias("_high"))
+    piece = F.floor(F.try_divide((F.col("x") - F.col("_low")) * 1000, F.col("_high") - F.col("_low")))
+    rows = table.crossJoin(F.broadcast(ends)).select("x", "y", piece.alias("_piece"))
+    return decreasing_steps(rows, [], "x", "y", [["_piece"]]).agg(F.count(F.lit(1)).alias("falls"))
+
+
 def _below(values: Column, value: Column, most: int) -> Column:
     """How many of at most ``most`` ascending values are at most ``value``, by binary search.
 
