@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.schema import MEMBERS_PER_GROUP, RACE_KEYS
+from wakeline.session import shuffle_partitions
 
 
 def wide_groups(
@@ -69,7 +70,7 @@ def race_tickets(
     # Groups are small and become 120 times larger here, so their partitions must not
     # be sized by what comes in: a fixed count is left alone by adaptive coalescing.
     # Later joins on group and combination keep this placement.
-    partitions = 4 * int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = 4 * shuffle_partitions(scored.sparkSession)
     placed = checked.select(*keys, "v").repartition(partitions, *keys)
     rows = placed.select(*keys, "v", F.explode(triple_table(size)).alias("t"))
     a, b, c = (F.get("v", F.col(f"t.{x}") - 1) for x in "ijk")

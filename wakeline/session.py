@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Partitions a shuffle starts with before small ones are joined.
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 #: Settings that can be changed on a running session. Skew splitting is forced
 #: even where it costs one more shuffle: a key may hold a third of all rows.
 RUNTIME_CONF = {
@@ -15,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Compressed bytes of a task's input: rows of many running sums take ten times that in a sort.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
     # A join on (group, combination) may use rows already placed by group, so exploded
     # tickets are not shuffled again.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
@@ -40,6 +45,12 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions for a shuffle whose count is stated: as many as any other starts with."""
+    least = spark.conf.get("spark.sql.shuffle.partitions")
+    return max(int(least), int(spark.conf.get(INITIAL_PARTITIONS, least)))
+
+
 def require_feed_charset(spark: SparkSession) -> None:
     """Parsers of the feeds need two settings; they check them and never change a session."""
     for key in ("spark.sql.legacy.javaCharsets", "spark.sql.legacy.codingErrorAction"):
