@@ -1,6 +1,11 @@
 """Build of the tables behind the queries."""
 
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
 from bindings import tables
+from wakeline.operators.quality import assert_rows
 from wakeline.session import INITIAL_PARTITIONS, shuffle_partitions
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +25,17 @@ def test_partitions_grow_with_the_lines(spark, monkeypatch):
         assert shuffle_partitions(spark) == 60
     finally:
         spark.conf.unset(INITIAL_PARTITIONS) if before is None else spark.conf.set(INITIAL_PARTITIONS, before)
+
+
+def test_rows_that_break_a_rule_stop_the_job(rows):
+    df = rows("k int, n int", (1, 1), (2, 2))
+    assert assert_rows(df, F.col("n") < 3, ["k"], "n of").count() == 2
+    for bad in (F.col("n") < 2, F.lit(None).cast("boolean")):
+        with pytest.raises(PySparkException, match='n of .*"k":'):
+            assert_rows(df, bad, ["k"], "n of").select(F.lit(1)).collect()
+
+
+def test_keys_of_prices_are_checked_without_a_shuffle(spark):
+    for build in (tables.build_payouts, tables.build_odds):
+        plan = build(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1

@@ -28,6 +28,13 @@ def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     return df
 
 
+def assert_rows(df: DataFrame, holds: Column, keys: Sequence[str], what: str) -> DataFrame:
+    """Rows that stop the job that reads them where ``holds`` is false. Moves no row, runs no job."""
+    named = F.concat(F.lit(f"{what} "), F.to_json(F.struct(*keys)))
+    # a filter stays whichever columns are read later
+    return df.filter(F.when(holds, True).otherwise(F.raise_error(named).cast("boolean")))
+
+
 def history_differences(
     build: Callable[[DataFrame, Sequence[Rate]], DataFrame],
     df: DataFrame,
