@@ -294,14 +294,35 @@ def _pieces(members: DataFrame) -> DataFrame:
             .withColumn("piece", F.least("mine", "other").cast("long") * (1 << 31) + F.greatest("mine", "other")))
 
 
+def _table_of(ids: DataFrame) -> DataFrame:
+    """(word, bits): a bit table of fixed size in which the slot of each id (column doc) is set."""
+    slots = ids.select(F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)).alias("slot"))
+    return slots.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the ids in ``gone`` (column doc); rows with a null doc_id leave as well.
+
+    Texts whose slot of the bit table is clear stay where they are. Only the others, the texts to
+    be removed and a few more, are shuffled to meet the ids.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    # at most FILTER_BITS / 64 rows are sent
+    table = F.broadcast(staged(_table_of(gone).toDF("_word", "_bits"), "table"))
+    known = docs.filter(F.col("doc_id").isNotNull()).withColumn("_slot", slot)
+    tested = known.join(table, F.floor(F.col("_slot") / 64) == F.col("_word"), "left")
+    hit = F.expr("coalesce(shiftright(_bits, cast(_slot % 64 as int)) & 1L, 0L) = 1L")
+    doubtful = tested.filter(hit).join(gone.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti")
+    return tested.filter(~hit).select(docs.columns).unionByName(doubtful.select(docs.columns))
+
+
 def _needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc, shingles) of the rows whose id is in ``ids`` (column doc).
 
     A bit table of fixed size spares most other texts; the join that follows makes it exact.
     """
-    slots = ids.select(F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)).alias("slot"))
-    words = slots.groupBy(F.floor(F.col("slot") / 64).alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+    words = _table_of(ids)
     table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     for row in words.toLocalIterator():  # at most FILTER_BITS / 64 rows
         table[row["word"]] = row["bits"]
@@ -418,8 +439,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Of rows that repeat a kept doc_id the smallest row stays. Rows with a null doc_id stay.
     """
     judged = staged(near_duplicates(docs), "judged")
-    gone = judged.filter(~F.col("kept")).select("doc_id").distinct()
-    stay = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = judged.filter(~F.col("kept")).select(F.col("doc_id").alias("doc")).distinct()
+    stay = _without(docs, gone)
     repeated = (judged.filter(F.col("doc_id").isNotNull()).groupBy("doc_id")
                 .agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
     if repeated.take(1):
