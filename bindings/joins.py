@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.history import PREPARED_SQL
-from bindings.tables import DIVIDENDS_SQL, MEMBERS_SQL, members, payouts, read
+from bindings.tables import DIVIDENDS_SQL, MEMBERS_SQL, members, members_in_passing, payouts, read
 from wakeline.functions.text import race_key_text
 from wakeline.operators import merge, quality, rules
 from wakeline.operators.asof import asof_join
@@ -397,7 +397,7 @@ _RULES = {
 def constraint_report(spark, sf):
     rules = {n: F.col(c).between(*band) for n, (_, c, band) in _RULES.items()}
     rules["grade_known"] = F.col("grade").isin(*GRADES[:3])
-    return quality.constraint_report(members(spark, sf), rules)
+    return quality.constraint_report(members_in_passing(spark, sf), rules)
 
 
 _NULLABLE = ["course", "finish_position", "start_timing", "grade", "weather", "wind_direction",

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from wakeline.operators import prefix
 from wakeline.operators.prefix import (
     Family, Measure, carry_forward, chunk_depths, ordinals, running, running_strict,
 )
@@ -119,3 +120,22 @@ def test_ordinals(frame, hot_rows):
         back = sorted((r for r in data if r[1] == key), key=lambda r: -r[0])
         assert {r["id"]: r["rev"] for r in got if r["k"] == key} == {
             r[0]: i for i, r in enumerate(back, 1)}
+
+
+def test_keys_are_counted_by_hash_before_they_are_counted_one_by_one(spark, monkeypatch):
+    df = spark.range(20_000).select((F.col("id") % 5000).alias("k"), F.col("id").alias("ts"))
+    monkeypatch.setattr(prefix, "HASHED", 10)
+    asked = []
+    largest = prefix._largest
+
+    def spy(df, keyed):
+        asked.append(list(keyed.values()))
+        return largest(df, keyed)
+
+    monkeypatch.setattr(prefix, "_largest", spy)
+    assert chunk_depths(df, [["k"]], [["ts"]], hot_rows=3000) == {("k",): 0}
+    assert len(asked) == 1 and asked[0] != [["k"]]  # no key was counted by itself
+    # many small keys of one hash are not taken for a hot one, and a hot one is found
+    assert chunk_depths(df, [["k"]], [["ts"]], hot_rows=100) == {("k",): 0}
+    hot = df.unionByName(df.withColumn("k", F.lit(None).cast("long")))
+    assert chunk_depths(hot, [["k"]], [["ts"]], hot_rows=3000) == {("k",): 1}

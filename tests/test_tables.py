@@ -4,11 +4,12 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from bindings import tables
+from bindings import history, joins, tables
 from wakeline.operators.quality import assert_rows
 from wakeline.session import INITIAL_PARTITIONS, shuffle_partitions
 
 SF = "/root/testdata/sf0.001"
+QUERIES = {**history.QUERIES, **joins.QUERIES}
 
 
 def test_lines_are_shuffled_by_order_only(spark):
@@ -39,3 +40,12 @@ def test_keys_of_prices_are_checked_without_a_shuffle(spark):
     for build in (tables.build_payouts, tables.build_odds):
         plan = build(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["labels", "event_ts_default", "encode_interactions", "constraint_report"])
+def test_queries_that_read_members_once_do_not_write_them(spark, monkeypatch, name):
+    monkeypatch.setattr(tables, "_STAGED", {})
+    passing = sorted(map(tuple, QUERIES[name](spark, SF).collect()))
+    assert not tables._STAGED
+    tables.members(spark, SF)
+    assert passing == sorted(map(tuple, QUERIES[name](spark, SF).collect()))

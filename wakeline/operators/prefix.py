@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 #: A key with more rows than this is cut into chunks.
 HOT_ROWS = 1_000_000
 
+#: Hash values by which keys are counted first. Limits below this are checked key by key at once.
+HASHED = 4096
+
 _ROW = "_is_row"
 
 
@@ -59,7 +62,7 @@ def chunk_depths(
     levels: Sequence[Sequence[str]],
     hot_rows: int = HOT_ROWS,
 ) -> dict[tuple[str, ...], int]:
-    """How many levels each anchor has to be cut by; runs one small job per level.
+    """How many levels each anchor has to be cut by; runs one or two small jobs per level.
 
     The empty anchor (a global prefix) is always cut at least once. Only the
     largest count per anchor reaches the driver.
@@ -67,19 +70,30 @@ def chunk_depths(
     depth = {tuple(a): 0 if a else min(1, len(levels)) for a in anchors}
     pending = [a for a in depth if depth[a] < len(levels)]
     while pending:
-        probes = []
-        for i, anchor in enumerate(pending):
-            keys = [*anchor, *(c for level in levels[: depth[anchor]] for c in level)]
-            counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            probes.append(counts.agg(F.lit(i).alias("_i"), F.max("_n").alias("_n")))
-        largest = {r["_i"]: r["_n"] or 0 for r in reduce(DataFrame.unionByName, probes).collect()}
-        grown = [a for i, a in enumerate(pending) if largest[i] > hot_rows]
+        keyed = {a: [*a, *(c for level in levels[: depth[a]] for c in level)] for a in pending}
+        if hot_rows >= HASHED:
+            # rows of all keys with one hash are at least those of each key
+            hashed = {a: [F.pmod(F.xxhash64(*k), F.lit(HASHED))] for a, k in keyed.items()}
+            largest = _largest(df, hashed)
+            keyed = {a: k for a, k in keyed.items() if largest[a] > hot_rows}
+        largest = _largest(df, keyed) if keyed else {}
+        grown = [a for a in keyed if largest[a] > hot_rows]
         for anchor in grown:
             depth[anchor] += 1
         pending = [a for a in grown if depth[a] < len(levels)]
     return depth
 
 
+def _largest(df: DataFrame, keyed: dict[tuple[str, ...], Sequence]) -> dict[tuple[str, ...], int]:
+    """Rows of the largest key per anchor, in one job."""
+    probes = []
+    for i, keys in enumerate(keyed.values()):
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        probes.append(counts.agg(F.lit(i).alias("_i"), F.max("_n").alias("_n")))
+    found = {r["_i"]: r["_n"] or 0 for r in reduce(DataFrame.unionByName, probes).collect()}
+    return {a: found[i] for i, a in enumerate(keyed)}
+
+
 def _same(keys: Sequence[str], prefix: str) -> Column:
     """NULL is a key of its own, hence the null-safe comparison."""
     return reduce(and_, [F.col(k).eqNullSafe(F.col(f"{prefix}{i}")) for i, k in enumerate(keys)])
