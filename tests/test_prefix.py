@@ -134,7 +134,7 @@ def test_keys_are_counted_by_hash_before_they_are_counted_one_by_one(spark, monk
 
     monkeypatch.setattr(prefix, "_largest", spy)
     assert chunk_depths(df, [["k"]], [["ts"]], hot_rows=3000) == {("k",): 0}
-    assert len(asked) == 1 and asked[0] != [["k"]]  # no key was counted by itself
+    assert len(asked) == 1 and not isinstance(asked[0][0][0], str)  # no key was counted by itself
     # many small keys of one hash are not taken for a hot one, and a hot one is found
     assert chunk_depths(df, [["k"]], [["ts"]], hot_rows=100) == {("k",): 0}
     hot = df.unionByName(df.withColumn("k", F.lit(None).cast("long")))
