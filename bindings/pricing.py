@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.scoring import TICKETS_SQL, scored, tickets
-from bindings.tables import DIVIDENDS_SQL, MEMBERS_SQL, ODDS_SQL, odds, payouts
+from bindings.tables import DIVIDENDS_SQL, MEMBERS_SQL, ODDS_SQL, dividends, odds, payouts
 from wakeline.functions.numeric import implied_probability, kelly_fraction
 from wakeline.operators import pricing
 from wakeline.operators.triples import wide_groups
@@ -92,13 +92,9 @@ def _r(*names, digits=6):
     return [F.round(n, digits).alias(n) for n in names]
 
 
-def dividends(spark, sf):
-    return pricing.load_dividends(payouts(spark, sf))
-
-
 def _priced(spark, sf):
-    # the keys of both tables were checked when they were written
-    return pricing.attach_odds(tickets(spark, sf), odds(spark, sf), check=False)
+    # the keys of both tables are checked where they are made
+    return pricing.attach_odds(tickets(spark, sf), odds(spark, sf, place=True), check=False)
 
 
 def settled(spark, sf):

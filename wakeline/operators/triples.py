@@ -43,6 +43,15 @@ def triple_table(size: int) -> Column:
     return F.expr(f"array({rows})")
 
 
+def placed_by_group(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups that become 120 times larger next, so their partitions must not be sized by what comes in.
+
+    A fixed count is left alone by adaptive coalescing. Later joins on group and combination keep this
+    placement, and two tables placed so meet without a shuffle.
+    """
+    return groups.repartition(4 * shuffle_partitions(groups.sparkSession), *keys)
+
+
 def race_tickets(
     scored: DataFrame,
     keys: Sequence[str] = RACE_KEYS,
@@ -67,11 +76,7 @@ def race_tickets(
             F.raise_error("group probabilities must be non-negative and not all zero"),
         ).otherwise(F.transform("v", lambda x: x / F.col("_total"))),
     )
-    # Groups are small and become 120 times larger here, so their partitions must not
-    # be sized by what comes in: a fixed count is left alone by adaptive coalescing.
-    # Later joins on group and combination keep this placement.
-    partitions = 4 * shuffle_partitions(scored.sparkSession)
-    placed = checked.select(*keys, "v").repartition(partitions, *keys)
+    placed = placed_by_group(checked.select(*keys, "v"), keys)
     rows = placed.select(*keys, "v", F.explode(triple_table(size)).alias("t"))
     a, b, c = (F.get("v", F.col(f"t.{x}") - 1) for x in "ijk")
     rest = 1.0 - a
