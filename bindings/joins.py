@@ -429,13 +429,13 @@ def yearly_consistency(spark, sf):
     return table.select(*[c for c in table.columns if c not in rates], *_r(*rates))
 
 
-def _groups(spark, sf):
+def _groups(spark, sf, *more):
     orders = read(spark, sf, "orders").join(
         read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     return orders.select(
         F.to_date("o_orderdate").alias("race_date"), F.col("c_nationkey").alias("stadium_id"),
-        F.col("o_orderkey").alias("race_no"),
+        F.col("o_orderkey").alias("race_no"), *more,
     )
 
 
@@ -535,9 +535,8 @@ UNION ALL SELECT 'payout types', count(DISTINCT bet_type), false, true FROM payo
 UNION ALL SELECT 'summary years', count(DISTINCT y), false, true FROM g
 UNION ALL SELECT 'course 1 years', count(DISTINCT year(race_date)), false, true FROM members WHERE finish_position = 1 AND course IS NOT NULL""")
 def validations(spark, sf):
-    groups = read(spark, sf, "orders").select(F.col("o_orderkey").alias("race_no"), (F.col("o_orderstatus") != "P").alias("has_k"))
-    races = _groups(spark, sf).join(groups, "race_no")
-    return rules.validations(races, members(spark, sf), payouts(spark, sf))
+    races = _groups(spark, sf, (F.col("o_orderstatus") != "P").alias("has_k"))
+    return rules.validations(races, members_in_passing(spark, sf), payouts(spark, sf))
 
 
 _OUTCOMES_SQL = """o AS (SELECT o_orderkey AS source, CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.operators import quality
@@ -63,17 +66,47 @@ def type_counts(payouts: DataFrame, counts: dict[str, tuple[int, int]] = TYPE_CO
 
 def validations(races: DataFrame, entries: DataFrame, payouts: DataFrame) -> DataFrame:
     """The nine validations as rows (check, metric, hard, passed); hard ones must count 0."""
-    trifecta = payouts.filter(F.col("bet_type") == "trifecta")
-    checks = {
-        "races": races,
-        "entries": entries,
-        "groups not of six": quality.bad_group_sizes(races, entries, RACE_KEYS, MEMBERS_PER_GROUP),
-        "no course": entries.filter(F.col("course").isNull()),
-        "course is not lane": entries.filter(F.col("course") != F.col("lane")),
-        "results without trifecta": quality.missing_children(races.filter("has_k"), trifecta, RACE_KEYS),
-        "venues": races.select("stadium_id").distinct(),
-        "payout types": payouts.select("bet_type").distinct(),
-        "summary years": quality.yearly_summary(races, entries, RACE_KEYS),
-        "course 1 years": quality.first_course_rate(entries),
+    course = F.col("course")
+    sums = {
+        "races": F.lit(1), "with_result": F.coalesce(F.col("has_k").cast("int"), F.lit(0)),
+    }
+    held = races.select(*RACE_KEYS, *[c.alias(n) for n, c in sums.items()])
+    # members are read once and are one row per group before they meet the races
+    counts = {
+        "entries": F.count(F.lit(1)), "no_course": F.count_if(course.isNull()),
+        "differs": F.count_if(course != F.col("lane")),
+        "winners": F.count_if((F.col("finish_position") == 1) & course.isNotNull()),
+    }
+    sizes = entries.groupBy(*RACE_KEYS).agg(*[c.alias(n) for n, c in counts.items()])
+    paid = payouts.filter(F.col("bet_type") == "trifecta").select(*RACE_KEYS, F.lit(1).alias("paid"))
+    names = [*sums, *counts, "paid"]
+    groups = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [held, sizes, paid]).groupBy(
+        *RACE_KEYS).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    # a key that holds a NULL meets nothing
+    named = reduce(and_, [F.col(k).isNotNull() for k in RACE_KEYS])
+    groups = groups.withColumns({
+        "wrong_size": F.when(named & (F.col("entries") == MEMBERS_PER_GROUP), 0).otherwise(F.col("races")),
+        "unpaid": F.when(named & (F.col("paid") > 0), 0).otherwise(F.col("with_result")),
+    })
+    totals = ["races", "entries", "no_course", "differs", "winners", "wrong_size", "unpaid"]
+    yearly = groups.groupBy(F.year("race_date").alias("year"), "stadium_id").agg(*[F.sum(n).alias(n) for n in totals])
+
+    def kinds(column: str, where: str) -> Column:
+        """Distinct values, NULL being one."""
+        return F.count_distinct(F.when(F.col(where) > 0, F.struct(column)))
+
+    def count(column: str) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0))
+
+    metrics = {
+        "races": count("races"), "entries": count("entries"), "groups not of six": count("wrong_size"),
+        "no course": count("no_course"), "course is not lane": count("differs"),
+        "results without trifecta": count("unpaid"), "venues": kinds("stadium_id", "races"),
+        "summary years": kinds("year", "races"), "course 1 years": kinds("year", "winners"),
     }
-    return quality.validation_suite(checks, hard=HARD)
+    row = yearly.agg(*[c.alias(n) for n, c in metrics.items()])
+    found = row.select(F.inline(F.array(*[
+        F.struct(F.lit(n).alias("check"), F.col(f"`{n}`").cast("long").alias("metric"), F.lit(n in HARD).alias("hard"))
+        for n in metrics])))
+    types = quality.validation_suite({"payout types": payouts.select("bet_type").distinct()})
+    return found.withColumn("passed", ~F.col("hard") | (F.col("metric") == 0)).unionByName(types)
