@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.history import PREPARED_SQL
-from bindings.tables import members
+from bindings.tables import members, members_in_passing
 from wakeline.functions.encode import with_labels
 from wakeline.functions.numeric import interp
 from wakeline.operators import metrics, splits
@@ -58,7 +58,7 @@ def query(name, sql=None):
 
 
 def complete(spark, sf):
-    return complete_groups(with_labels(members(spark, sf)))
+    return complete_groups(with_labels(members_in_passing(spark, sf)))
 
 
 def scored(spark, sf):

@@ -45,16 +45,17 @@ def complete_groups(
 ) -> DataFrame:
     """Rows of groups with exactly ``size`` members and exactly one positive label.
 
-    A group whose key holds a NULL has no identity and is not complete. The plain join lets
-    later windows on the keys use its placement.
+    A group whose key holds a NULL has no identity and is not complete. Rows are read once: of a
+    larger group the first ``size + 1`` tell that it is too large, and no more of them are moved or
+    counted. Later windows on the keys use the placement.
     """
-    good = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_wins"))
-        .filter((F.col("_n") == size) & (F.col("_wins") == 1))
-        .select(*keys)
-    )
-    return df.join(good, list(keys), "left_semi")
+    named = df.dropna(subset=list(keys))
+    # the order is by a key, so any rows of the group; Spark limits such windows before the shuffle
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(keys[-1]))
+    few = named.withColumn("_place", place).filter(F.col("_place") <= size + 1)
+    stats = {"_n": F.count(F.lit(1)), "_wins": F.sum(label)}
+    counted = with_group(few, keys, stats, bounded=True)
+    return counted.filter((F.col("_n") == size) & (F.col("_wins") == 1)).drop("_place", *stats)
 
 
 def is_finite(value: Column) -> Column:
