@@ -217,8 +217,9 @@ def max_drawdown(df: DataFrame, keys: Sequence[str], pnl: str, sums: Sequence[st
 
     Rows are ordered by group keys, then combination, which makes ties definite.
     """
-    pieces = as_curve(blocked(df, size=GROUPS_PER_BLOCK), F.col(pnl))
-    folded = _fold_days(pieces, keys, ["race_no", "combination"], sums)
+    # tickets are folded where they lie; one small row per group moves on
+    pieces = fold_curve(as_curve(df, F.col(pnl)), [*keys, *RACE_KEYS], ["combination"], sums)
+    folded = _fold_days(blocked(pieces, size=GROUPS_PER_BLOCK), keys, ["race_no"], sums)
     return folded.select(*keys, *sums, F.col("drawdown").alias("max_dd_yen"))
 
 
@@ -229,7 +230,8 @@ def _group_curves(
 
     Tickets lie together by group and are sorted by combination after settlement, so
     all strategies are run over them side by side without moving a ticket again. A
-    group has at most as many tickets as combinations.
+    group has at most as many tickets as combinations. Tickets that no strategy buys
+    repeat the curve's last value: they are counted, and only a group's first one stays.
     """
     stakes = {
         "flat": F.lit(TICKET_YEN),
@@ -239,9 +241,16 @@ def _group_curves(
     if unknown:
         raise ValueError(f"unknown staking scheme {unknown}; choose from {list(STAKINGS)}")
     schemes = list(dict.fromkeys(s for _, s in strategies))
-    staked = settled.withColumns({f"_stake_{s}": stakes[s] for s in schemes})
+    group = Window.partitionBy(*RACE_KEYS)
+    counted = settled.withColumns({
+        "_place": F.row_number().over(group.orderBy("combination")),
+        "tickets": F.count(F.lit(1)).over(group),
+    })
+    lowest = min(t for t, _ in strategies)
+    bought = counted.filter((F.col("_place") == 1) | (F.col("ev") >= lowest))
+    staked = bought.withColumns({f"_stake_{s}": stakes[s] for s in schemes})
     rows = staked.selectExpr(
-        *RACE_KEYS, "combination", "hit",
+        *RACE_KEYS, "combination", "hit", "tickets",
         *[
             f"CASE WHEN ev >= {t}D THEN _stake_{s} ELSE 0.0D END AS st{i}"
             for i, (t, s) in enumerate(strategies)
@@ -270,7 +279,7 @@ def _group_curves(
         for i in each
     )
     return fallen.groupBy(*RACE_KEYS).agg(
-        F.count(F.lit(1)).alias("tickets"), F.expr(f"array({pieces})").alias("_pieces")
+        F.max("tickets").alias("tickets"), F.expr(f"array({pieces})").alias("_pieces")
     )
 
 
