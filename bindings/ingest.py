@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from bindings.tables import read
+from bindings.tables import LINES_A_PARTITION, read
 from wakeline.functions import text as tx
 from wakeline.session import shared_dir, tune
 from wakeline.sources.fixed_width import parse_fixed_width, record, split_lines
@@ -203,12 +203,13 @@ def html_cells(spark, sf):
     )
 
 
-def _stream_of_events(spark, sf, files: int = 4):
-    """The table as files that arrive two at a time, in no order of time."""
+def _stream_of_events(spark, sf):
+    """The table as files that arrive in two halves, in no order of time; larger tables make more files."""
     events = read(spark, sf, "events")
+    files = max(4, -(-events.count() // LINES_A_PARTITION))  # from the footers
     folder = f"{shared_dir(spark)}/arriving-{uuid.uuid4().hex}"
     events.repartition(files, F.xxhash64("event_id")).write.parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(folder)
 
 
 def _kept(spark, stream, merge):

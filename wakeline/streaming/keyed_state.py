@@ -11,33 +11,27 @@ The state is the table: :func:`read_state` reads it from the checkpoint.
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import ArrayType, IntegerType, IntegralType, LongType, StringType, StructField, StructType
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "kept"
-_KEY, _SALT = "_key", "_salt"
-# the processor travels whole: the helper process that asks it for its state has no path of ours
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+_ROW, _SALT = "_row", "_salt"
 
 
 @dataclass(frozen=True)
 class Merge:
     """How records of a key become one row.
 
-    ``order``: whole-number or time columns that order the records of a key; equal ones keep what
-    came first. With ``whole`` the newest record wins with all its columns. Otherwise each column is
-    on its own, and columns of ``either`` (booleans) are OR-ed.
+    ``order``: whole-number or time columns that order the records of a key; of equal ones the larger
+    values stay, whichever came first. With ``whole`` the newest record wins with all its columns.
+    Otherwise each column is on its own, and columns of ``either`` (booleans) are OR-ed.
     """
 
     keys: Sequence[str]
@@ -48,81 +42,30 @@ class Merge:
     #: Parts that the records of one key are dealt to, for keys that hold very many records.
     salts: int = 1
 
-    @property
-    def stamps(self) -> list[str]:
-        """Names of the orders that are kept: one for the row, or one per column."""
-        return ["_at"] if self.whole else [f"_at_{c}" for c in self.columns if c not in self.either]
-
-
-@dataclass
-class _Keeper(StatefulProcessor):
-    merge: Merge
-    schema: StructType
-    names: list[str] = field(default_factory=list)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.names = self.schema.fieldNames()
-        self.state = handle.getValueState(STATE, self.schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        m = self.merge
-        held = dict(zip(self.names, self.state.get())) if self.state.exists() else dict.fromkeys(self.names)
-        for frame in rows:
-            # computed columns come without names
-            frame = frame.set_axis([_KEY, _SALT, *m.keys, *m.columns, "_order"], axis=1)
-            columns = {c: [self._plain(c, v) for v in frame[c].tolist()] for c in [*m.keys, *m.columns]}
-            held.update({c: columns[c][0] for c in m.keys})
-            for i, at in enumerate(frame["_order"].tolist()):
-                at = [int(x) for x in at]
-                new = {c: columns[c][i] for c in m.columns}
-                if m.whole:
-                    if held["_at"] is None or at > list(held["_at"]):
-                        held.update(new, _at=at)
-                    continue
-                for c, value in new.items():
-                    if value is None:
-                        continue
-                    if c in m.either:
-                        held[c] = bool(held[c]) or bool(value)
-                    elif held[f"_at_{c}"] is None or at > list(held[f"_at_{c}"]):
-                        held[c], held[f"_at_{c}"] = value, at
-        self.state.update(tuple(held[n] for n in self.names))
-        out = {**dict(zip([_KEY, _SALT], key)), **held}
-        yield pd.DataFrame({n: pd.Series([v], dtype="object") for n, v in out.items()})
-
-    def _plain(self, column: str, value):
-        """NULL and NaN are missing; pandas turns whole numbers beside NULLs into fractions."""
-        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
-            return None
-        return int(value) if isinstance(self.schema[column].dataType, IntegralType) else value
-
-    def close(self) -> None:
-        pass
-
-
-def _schema(stream: DataFrame, merge: Merge) -> StructType:
-    kept = [StructField(c, stream.schema[c].dataType) for c in (*merge.keys, *merge.columns)]
-    return StructType([*kept, *[StructField(s, ArrayType(LongType())) for s in merge.stamps]])
-
 
 def merged_stream(stream: DataFrame, merge: Merge) -> DataFrame:
     """The rows of the keys that each batch names, after the merge (update mode).
 
-    A key is grouped by its text, in which NULL is a value of its own.
+    An aggregate that Spark keeps in the store: records of a batch are combined before they are
+    shuffled, and a NULL key is a key of its own.
     """
-    kept, types = _schema(stream, merge), dict(stream.dtypes)
+    types = dict(stream.dtypes)
     order = F.array(*[F.coalesce(F.unix_micros(F.col(c).cast("timestamp")) if types[c].startswith("timestamp") else F.col(c).cast("long"),
                                  F.lit(-(2 ** 63))) for c in merge.order])
-    text = F.to_json(F.struct(*merge.keys), {"ignoreNullFields": "false"})
     salt = F.pmod(F.xxhash64(*merge.order), F.lit(merge.salts)).cast("int")
-    rows = stream.select(text.alias(_KEY), salt.alias(_SALT), *merge.keys, *merge.columns, order.alias("_order"))
-    out = StructType([StructField(_KEY, StringType()), StructField(_SALT, IntegerType()), *kept])
-    return rows.groupBy(_KEY, _SALT).transformWithStateInPandas(_Keeper(merge, kept), out, "Update", "None")
+    # NaN is missing, as NULL is
+    value = {c: (F.when(~F.isnan(c), F.col(c)) if types[c] in ("double", "float") else F.col(c)).alias(c) for c in merge.columns}
+    at = order.alias("_at")
+    if merge.whole:
+        kept = [F.max(F.struct(at, *value.values())).alias(_ROW)]
+    else:
+        kept = [F.max(v if c in merge.either else F.when(v.isNotNull(), F.struct(at, v))).alias(c) for c, v in value.items()]
+    return stream.groupBy(*merge.keys, salt.alias(_SALT)).agg(*kept)
 
 
 @contextmanager
 def _rocks(spark: SparkSession):
-    """The store that such operators need, while a stream is started."""
+    """A store that need not fit in memory, while a stream is started."""
     before = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKS)
     try:
@@ -139,12 +82,18 @@ def keep(stream: DataFrame, merge: Merge, checkpoint: str) -> StreamingQuery:
 
 
 def read_state(spark: SparkSession, merge: Merge, checkpoint: str) -> DataFrame:
-    """The table: one row per key, from the newest state of a stream that is not running."""
+    """The table: one row per key, from the newest state of a stream that is not running.
+
+    The store holds what the aggregates hold, in their order and under names of Spark's own.
+    """
     with _rocks(spark):
-        state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", STATE).load()
-    held = state.select("value.*")
+        state = spark.read.format("statestore").option("path", checkpoint).load()
+    names = [_ROW] if merge.whole else list(merge.columns)
+    held = StructType([StructField(n, f.dataType) for n, f in zip(names, state.schema["value"].dataType.fields, strict=True)])
+    rows = state.select("key.*", F.col("value").cast(held).alias("_value")).select(*merge.keys, "_value.*")
+    # parts of a key meet here
+    best = rows.groupBy(*merge.keys).agg(*[F.max(n).alias(n) for n in names])
     if merge.whole:
-        best = F.max_by(F.struct(*merge.columns), "_at")
-        return held.groupBy(*merge.keys).agg(best.alias("_row")).select(*merge.keys, "_row.*")
-    return held.groupBy(*merge.keys).agg(*[
-        F.max(c).alias(c) if c in merge.either else F.max_by(c, f"_at_{c}").alias(c) for c in merge.columns])
+        return best.select(*merge.keys, *[F.col(f"{_ROW}.{c}").alias(c) for c in merge.columns])
+    return best.select(*merge.keys, *[
+        F.col(c) if c in merge.either else F.col(f"{c}.{c}").alias(c) for c in merge.columns])
