@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bindings.history import PREPARED_SQL
 from bindings.scoring import COMPLETE_SQL, SCORED_SQL, complete, scored
-from bindings.tables import members
+from bindings.tables import members_in_passing
 from wakeline.functions.encode import with_encodings, with_labels
 from wakeline.operators import boosting, isotonic, models
 from wakeline.operators.boosting import GRAIN, LEAF_GRAIN
@@ -35,7 +35,7 @@ def _predicted(spark, sf):
     """Default trees on early years, calibrated on 2000, for all complete groups."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _PREDICTED:
-        table = staged(complete_groups(with_encodings(with_labels(members(spark, sf)))), "training")
+        table = staged(complete_groups(with_encodings(with_labels(members_in_passing(spark, sf)))), "training")
         year = F.year("race_date")
         model = models.train_calibrated(table.filter(year < 2000), table.filter(year == 2000))
         _PREDICTED[key] = staged(model.predict(table, bounded=True), "predicted")
