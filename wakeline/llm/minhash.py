@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import map_rows, text_or_empty
+from wakeline.llm.common import map_batches, map_rows, text_or_empty
 from wakeline.session import staged
 
 SHINGLE_WORDS = 5
@@ -240,7 +240,7 @@ def _in_buckets(members: DataFrame, columns: list[str], judge: Callable[..., lis
         yield batch_of(found)
 
     dealt = members.select(names).repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "doc")
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)
 
 
 def _pairs_of(ids: tuple, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:

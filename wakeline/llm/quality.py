@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import map_rows, text_or_empty
+from wakeline.llm.common import map_batches, map_rows, text_or_empty
 
 #: Fixed values of the base checks.
 SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
@@ -189,4 +189,4 @@ def select(docs: DataFrame, rules: dict[str, Callable] = RULES) -> DataFrame:
                 t.n_words >= MIN_WORDS and 100 * t.n_repeat_words <= MAX_REPEATED_PERCENT * t.n_words
                 and not any(rejects(t) for rejects in cascade) for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(passing, docs.schema)
+    return map_batches(docs, passing, docs.schema)

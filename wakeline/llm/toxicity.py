@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import map_rows, text_or_empty
+from wakeline.llm.common import map_batches, map_rows, text_or_empty
 
 #: Labelled texts the model is fitted on at most; the ones with the smallest hashes are taken.
 MAX_TRAIN_ROWS = 6_000
@@ -197,4 +197,4 @@ def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             texts = batch.column(at).to_pylist()
             yield batch.filter(pa.array([held.value.score(t or "") < THRESHOLD for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(passing, docs.schema)
+    return map_batches(docs, passing, docs.schema)
