@@ -259,18 +259,24 @@ def running(
 
     chunk, chunk_levels = _chunker(source, anchor, levels[:depth], hot_rows)
     flat = [c for level in chunk_levels for c in level]
-    rows = chunk(df.withColumns({m.name: m.value for m in measures})).withColumn(_ROW, F.lit(1))
+    # rows have their values in columns of their own; what carry rows bring is NULL in them, so it costs next to nothing
+    rows = chunk(df).withColumn(_ROW, F.lit(1))
     for f in families:
         group = [*anchor, *f.extra]
         valued = source.withColumns({m.name: m.value for m in f.measures})
         hot = chunk(valued).filter(F.col(flat[0]))
         totals = _totals(hot, [*group, *flat], f.measures, order)
         carry = scan_chunks(totals, group, chunk_levels, f.measures)
+        carry = carry.withColumnsRenamed({m.name: f"_c_{m.name}" for m in f.measures})
         rows = rows.unionByName(carry.withColumn(_ROW, F.lit(0)), allowMissingColumns=True)
 
     # one shuffle on anchor and chunk serves the windows of every family
     rows = rows.repartition(*anchor, *flat)
-    done = rows.select(*keep, _ROW, *measured(lambda m: F.col(m.name), [*anchor, *flat], [_ROW]))
+
+    def value(m):
+        return F.when(F.col(_ROW) == 1, m.value).otherwise(F.col(f"_c_{m.name}"))
+
+    done = rows.select(*keep, _ROW, *measured(value, [*anchor, *flat], [_ROW]))
     return done.filter(F.col(_ROW) == 1).drop(_ROW)
 
 
@@ -315,31 +321,27 @@ def carry_forward(
 def ordinals(
     df: DataFrame,
     group: Sequence[str],
-    numbered: dict[str, tuple[Sequence[str], Sequence[Sequence[str]]]],
+    numbered: dict[str, tuple[Sequence[str | Column], Sequence[Sequence[str]]]],
     *,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Several row numbers per group: ``{name: (order, levels)}``.
+    """Several row numbers per group: ``{name: (order, levels)}``; an order may end in earlier numbers.
 
     Ordinary groups get all numbers from one shuffle; rows of hot groups, if there
     are any, are numbered in chunks.
     """
+
+    def windows(rows):
+        for name, (order, _) in numbered.items():
+            rows = rows.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+        return rows
+
     if not chunk_depths(df, [group], [list(group)], hot_rows)[tuple(group)]:
-        return df.withColumns(
-            {
-                name: F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-                for name, (order, _) in numbered.items()
-            }
-        )
+        return windows(df)
     hot = _renamed(hot_keys(df, group, hot_rows), group, "_hot_")
     cold_rows = df.join(hot, _same(group, "_hot_"), "left_anti")
     hot_rows_df = df.join(hot, _same(group, "_hot_"), "left_semi")
-    cold = cold_rows.withColumns(
-        {
-            name: F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-            for name, (order, _) in numbered.items()
-        }
-    )
+    cold = windows(cold_rows)
     chunked = hot_rows_df
     for name, (order, levels) in numbered.items():
         family = Family((), (Measure(name, F.lit(1).cast("long")),))
