@@ -60,3 +60,16 @@ def test_tied_prices_have_one_order(spark, con, tied, monkeypatch, column, name)
     monkeypatch.setattr(entry, "oracle_sql", lambda: {name: sql.replace(FINISH, f"{FINISH}, {column}")})
     text, _, good = compare(spark, con, name, tied)
     assert good, text
+
+
+def test_histories_are_made_from_few_columns(spark, monkeypatch):
+    monkeypatch.setattr(tables, "_STAGED", {})
+    for name in NAMES:
+        history.QUERIES[name](spark, SF)
+    assert {label for _, _, label in tables._STAGED} == {"results_lane_rank", "results_course_rank"}
+    assert len(tables.results(spark, SF, tables.BY_COURSE).columns) == 10
+
+
+def test_attributes_need_kept_keys_only(spark):
+    with pytest.raises(ValueError, match="score"):
+        tables.attributes("age", "score")
